@@ -2,16 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from accrete.llm import quality_rules
+from accrete.llm import chat_format, html_text, quality_rules, secret_scan, sentence_pieces, url_filter
 from accrete.llm.text import read
 
 
+def op1_sentence_pieces(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op2_url_filter(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op3_chat_format(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == chat_format.TRAINED_ROLE), lambda t: t["text"]), "")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.withColumn("_loss", loss).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_html_text(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
+
+
+def op7_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in secret_scan.BASE_KINDS], F.sha2(shown(base), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op10_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_url_filter, op3_chat_format, op5_html_text, op7_secret_scan, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
