@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from accrete.llm import chat_format, html_text, near_dedup, quality_rules, secret_scan, sentence_pieces, url_filter
+from accrete.llm import chat_format, html_text, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter
 from accrete.llm.text import read
 
 
@@ -47,6 +47,11 @@ def op7_secret_scan(spark, sf_dir):
     return found.select("doc_id", *[count(k) for k in secret_scan.BASE_KINDS], F.sha2(shown(base), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    left = substring_dedup.remove(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_dedup(spark, sf_dir):
     grouped = near_dedup.groups(read(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
     return grouped.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -57,5 +62,5 @@ def op10_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_url_filter, op3_chat_format, op5_html_text, op7_secret_scan, op9_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_url_filter, op3_chat_format, op5_html_text, op7_secret_scan, op8_substring_dedup, op9_near_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
