@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from accrete.llm import chat_format, html_text, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter
+from accrete.llm import chat_format, decontamination, html_text, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter
 from accrete.llm.text import read
 
 
@@ -35,6 +35,10 @@ def op3_chat_format(spark, sf_dir):
     )
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontamination.leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_html_text(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
 
@@ -62,5 +66,5 @@ def op10_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_url_filter, op3_chat_format, op5_html_text, op7_secret_scan, op8_substring_dedup, op9_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_url_filter, op3_chat_format, op4_decontamination, op5_html_text, op7_secret_scan, op8_substring_dedup, op9_near_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Units a worker keeps at most (about 250 bytes each).
-KEPT_UNITS = 400_000
+#: Units in each of a worker's two generations (about 220 bytes each).
+KEPT_UNITS = 600_000
+#: Texts whose units are looked up together.
+TOGETHER = 100
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 RESULT_IDS = "ids array<int>, decoded string"
 
@@ -80,6 +82,7 @@ class Pieces:
         self.shown = [None if self.library.is_byte(i) else "" if self.library.is_control(i) else self.library.decode([i]) if self.library.is_unknown(i) else names[i].replace(SPACE, " ") for i in range(size)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kept_units, self.check = kept_units, check
 
     def merge(self, unit: str) -> list[int]:
@@ -128,20 +131,23 @@ class Pieces:
         for u, ids in zip(new, got, strict=True):
             self.units[u] = np.asarray(ids, "<u4").tobytes()
 
+    def meet(self, cut: list[list[str]]) -> None:
+        """Brings all units of some texts into the younger generation."""
+        if len(self.units) > self.kept_units:
+            self.units, self.older = {}, self.units
+        missing = set().union(*cut).difference(self.units)
+        self.units.update((u, self.older[u]) for u in missing if u in self.older)
+        self.learn([u for u in missing if u not in self.older])
+
     def encode_batch(self, texts: list[str], begin: bool = True, end: bool = True) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         head = np.asarray([self.begin] if begin else [], "<u4").tobytes()
         tail = np.asarray([self.end] if end else [], "<u4").tobytes()
         out = []
-        for text in texts:
-            units = self.cut(text)
-            try:
-                out.append(head + b"".join([self.units[u] for u in units]) + tail)
-            except KeyError:
-                if len(self.units) > self.kept_units:
-                    self.units.clear()
-                self.learn([u for u in dict.fromkeys(units) if u not in self.units])
-                out.append(head + b"".join([self.units[u] for u in units]) + tail)
+        for at in range(0, len(texts), TOGETHER):
+            cut = [self.cut(text) for text in texts[at : at + TOGETHER]]
+            self.meet(cut)
+            out += [head + b"".join([self.units[u] for u in units]) + tail for units in cut]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -164,6 +170,16 @@ class Pieces:
         return text[1:] if first not in (None, self.unknown) and (self.shown[first] or "").startswith(" ") else text
 
 
+#: The vocabularies a worker has loaded, with the units it has met in all its tasks.
+_LOADED: dict[tuple[str, bool], Pieces] = {}
+
+
+def loaded(path: str, check: bool) -> Pieces:
+    if (path, check) not in _LOADED:
+        _LOADED[path, check] = Pieces(path, check=check)
+    return _LOADED[path, check]
+
+
 def _from_bytes(run: bytes) -> str:
     """UTF-8 with one replacement character for every byte that isn't part of a whole character."""
     try:
@@ -189,7 +205,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", begin: bool = True, e
     schema = RESULT + (f", {RESULT_IDS}" if with_ids else "")
 
     def batches(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path, check=check)
+        pieces = loaded(path, check)
         for texts in it:
             rows = []
             for data in pieces.encode_batch(texts.fillna("").tolist(), begin, end):
