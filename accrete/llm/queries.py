@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from accrete.llm import chat_format, decontamination, html_text, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter
+from accrete.llm import chat_format, decontamination, html_text, line_dedup, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter
 from accrete.llm.text import read
 
 
@@ -43,6 +43,11 @@ def op5_html_text(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
 
 
+def op6_line_dedup(spark, sf_dir):
+    left = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_secret_scan(spark, sf_dir):
     found = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
@@ -66,5 +71,5 @@ def op10_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_url_filter, op3_chat_format, op4_decontamination, op5_html_text, op7_secret_scan, op8_substring_dedup, op9_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_url_filter, op3_chat_format, op4_decontamination, op5_html_text, op6_line_dedup, op7_secret_scan, op8_substring_dedup, op9_near_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Units in each of a worker's two generations (about 220 bytes each).
 KEPT_UNITS = 600_000
+PLACES = (1 << 40) - 1
 #: Texts whose units are looked up together.
 TOGETHER = 100
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -68,7 +69,10 @@ class Pieces:
         names = [self.library.id_to_piece(i) for i in range(size)]
         special = [self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i) or self.library.is_unused(i) for i in range(size)]
         self.id_of = {names[i]: i for i in range(size) if not special[i]}
-        self.score = {names[i]: self.library.get_score(i) for i in range(size) if not special[i]}
+        scores = {names[i]: self.library.get_score(i) for i in range(size) if not special[i]}
+        place = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        #: An agenda entry is a piece's place by score, best first, and then the pair's place in the unit.
+        self.rank = {name: place[score] * (PLACES + 1) for name, score in scores.items()}
         self.byte_ids = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown, self.begin, self.end = self.library.unk_id(), self.library.bos_id(), self.library.eos_id()
         if any(i == self.unknown for i in self.byte_ids):
@@ -90,26 +94,23 @@ class Pieces:
         symbols: list[str | None] = list(unit)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        score, agenda = self.score, []
-        for i in range(n - 1):
-            pair = unit[i : i + 2]
-            if pair in score:
-                agenda.append((-score[pair], i, pair))
+        rank, push, pop = self.rank.get, heapq.heappush, heapq.heappop
+        agenda = [r + i for i in range(n - 1) if (r := rank(unit[i : i + 2])) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
-            left = symbols[i]
+            entry = pop(agenda)
+            i = entry & PLACES
             j = after[i]
-            if left is None or j >= n or len(left) >= len(pair) or left + symbols[j] != pair:
+            if j >= n or (left := symbols[i]) is None or rank(pair := left + symbols[j]) != entry - i:
                 continue  # one of its symbols has been merged meanwhile
             symbols[i], symbols[j] = pair, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (longer := pair + symbols[k]) in score:
-                    heapq.heappush(agenda, (-score[longer], i, longer))
-            if (h := before[i]) >= 0 and (longer := symbols[h] + pair) in score:
-                heapq.heappush(agenda, (-score[longer], h, longer))
+                if (r := rank(pair + symbols[k])) is not None:
+                    push(agenda, r + i)
+            if (h := before[i]) >= 0 and (r := rank(symbols[h] + pair)) is not None:
+                push(agenda, r + h)
         ids: list[int] = []
         for s in symbols:
             if s is not None:
