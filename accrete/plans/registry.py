@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 QUERIES = {}
 ORACLES = {}
 
@@ -20,14 +18,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query(
-    "sc18_data_in_interval",
-    """
-    SELECT event_id AS key, CAST(epoch(ts) AS BIGINT) AS timestamp, user_id AS label
-    FROM events WHERE CAST(epoch(ts) AS BIGINT) BETWEEN 1704500000 AND 1705500000
-    """,
-)
-def data_in_interval(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ts = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return events.select(F.col("event_id").alias("key"), ts.alias("timestamp"), F.col("user_id").alias("label")).where(F.col("timestamp").between(1704500000, 1705500000))
+from accrete.plans import analysis, choosing, evaluating, preparing, scanning, scores, triggering  # noqa: E402, F401
