@@ -14,8 +14,8 @@ size is fixed by these lists, and one scan of all documents against at most len(
 
 Defined results: null or blank text has no words and fails the base rule; a null or unlisted language is "other"; null
 qualities don't count as labels, and several labels of one document count as its lowest; without labels no rule of the
-method rejects. Repeated doc_ids stay separate rows. Other columns are carried along by `judge`, except that names of
-the features given here are replaced.
+method rejects. Repeated doc_ids stay separate rows. `judge` returns no other columns; `keep_good` returns all columns as
+they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -161,4 +161,5 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs; texts are scanned twice instead of being written."""
     cuts = cut(fit(features(docs.select("doc_id", "lang", "text")).drop("text"), labels, alpha, delta))
-    return verdicts(features(docs), cuts).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "lang", "text")
+    return verdicts(features(whole), cuts).where("kept").select("_row.*")
