@@ -26,10 +26,9 @@ def time_trigger(stream: DataFrame, every: int, start: int | None = None) -> Dat
 
 def time_trigger_counts(stream: DataFrame, every: int) -> DataFrame:
     """trigger_id and n of every fired window, empty windows included."""
-    spark = stream.sparkSession
     got = time_trigger(stream, every).where("trigger_id is not null").groupBy("trigger_id").agg(F.count("*").alias("n"))
-    last = got.agg(F.max("trigger_id")).first()[0]
-    spine = spark.range((last if last is not None else -1) + 1).withColumnRenamed("id", "trigger_id")
+    first, last = stream.agg(F.min("timestamp"), F.max("timestamp")).first()
+    spine = stream.sparkSession.range(0 if first is None else (last - first) // every).withColumnRenamed("id", "trigger_id")
     return spine.join(got, "trigger_id", "left").select("trigger_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
