@@ -160,7 +160,7 @@ def test_line_dedup(spark, docs):
             if x.strip(space):
                 places.setdefault(x.strip(space), []).append((i, k))
     lines = sorted(places)
-    sets = {n: {x[j : j + 9] for j in range(max(1, len(x) - 8))} for n, x in enumerate(lines)}
+    sets = {n: {m[1] for m in re.finditer(r"(?s)(?<![^ \t-\r])(?=([^ \t-\r]{9,}|[^ \t-\r].{0,8}))", x)} for n, x in enumerate(lines)}
     root = jaccard_components(range(len(lines)), sets, lambda i, u: i >= 0.8 * u)
     kept = {}
     for n, x in enumerate(lines):
