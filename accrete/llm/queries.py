@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from accrete.llm import chat_format, decontamination, html_text, line_dedup, near_dedup, quality_rules, secret_scan, sentence_pieces, substring_dedup, url_filter
+from accrete.llm.oracles import ORACLES  # noqa: F401
 from accrete.llm.text import read
 
 
@@ -72,4 +73,4 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_url_filter, op3_chat_format, op4_decontamination, op5_html_text, op6_line_dedup, op7_secret_scan, op8_substring_dedup, op9_near_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+
