@@ -21,9 +21,9 @@ RUNS = "[array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]"
 OP4 = f"""
 WITH i AS (SELECT item_id, w, len(w) AS l, {RUNS} AS g FROM (SELECT item_id, {WORDS.format(PLAIN)} AS w FROM benchmark) WHERE len(w) >= 5),
 d AS (SELECT doc_id, w, {RUNS} AS g FROM (SELECT doc_id, {WORDS.format(PLAIN)} AS w FROM documents) WHERE len(w) >= 5),
-ip AS (SELECT item_id, l, unnest(g) AS x, unnest(range(len(g))) AS at FROM i),
+ip AS (SELECT item_id, l, unnest(g) AS x, unnest(range(len(g))) AS place FROM i),
 dp AS (SELECT doc_id, unnest(g) AS x, unnest(range(len(g))) AS pos FROM d),
-c AS (SELECT DISTINCT doc_id, l, pos - at AS start FROM dp JOIN ip USING (x) WHERE pos >= at),
+c AS (SELECT DISTINCT doc_id, l, pos - place AS start FROM dp JOIN ip USING (x) WHERE pos >= place),
 wt AS (SELECT x, ln(1 + (SELECT count(*) FROM i) / count(DISTINCT item_id)) AS wt FROM ip GROUP BY 1),
 ic AS (SELECT item_id, x, count(*) AS there FROM ip GROUP BY 1, 2),
 it AS (SELECT item_id, sum(there * wt) AS item_total FROM ic JOIN wt USING (x) GROUP BY 1),
