@@ -145,8 +145,10 @@ def verdicts(measured: DataFrame, cuts: DataFrame) -> DataFrame:
     """measured (from `features`) with rejected_by (the method's rules that reject) and kept."""
     # at most len(STRATA) + 1 rows of len(LADDERS) numbers, whatever the input
     got = measured.withColumn("_stratum", stratum(F.col("lang"))).join(F.broadcast(cuts.withColumnRenamed("stratum", "_stratum")), "_stratum", "left")
-    rejects = F.array_compact(F.array(*[F.when(F.col(rule) > F.col(f"cut_{rule}"), F.lit(rule)) for rule in LADDERS]))
-    return got.withColumn("rejected_by", rejects).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("_stratum", *[f"cut_{r}" for r in LADDERS])
+    # one expression of both sides: a filter on kept stays above the join, as below it all features would be computed again
+    reasons = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *[F.when(F.col(rule) > F.col(f"cut_{rule}"), F.lit(rule)) for rule in LADDERS]))
+    got = got.withColumn("_reasons", reasons).withColumn("rejected_by", F.array_remove("_reasons", "base")).withColumn("kept", F.size("_reasons") == 0)
+    return got.drop("_stratum", "_reasons", *[f"cut_{r}" for r in LADDERS])
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
