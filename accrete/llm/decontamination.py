@@ -68,7 +68,8 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFr
     small = (lambda df: F.broadcast(df)) if n_items <= MOST_ITEMS else (lambda df: df)
     items = _fingerprint(items, "hashes")
     places = items.select("length", F.posexplode("shingles").alias("at", "shingle")).distinct()
-    held = _with_shingles(docs.where("doc_id is not null").select("doc_id", _hashes(F.col("text")).alias("hashes"))).select("doc_id", F.posexplode("shingles").alias("pos", "shingle"))
+    # outer, as otherwise a filter on the array's size is pushed below all that makes the array, and computes it many times
+    held = _with_shingles(docs.where("doc_id is not null").select("doc_id", _hashes(F.col("text")).alias("hashes"))).select("doc_id", F.posexplode_outer("shingles").alias("pos", "shingle"))
     hits = held.join(small(places), "shingle").where("pos >= at").select("doc_id", "length", (F.col("pos") - F.col("at")).alias("start")).distinct()
     wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("_w"))
     windows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "_w", _hashes(F.col("text")).alias("hashes"))
