@@ -74,10 +74,10 @@ def random(spark, sf_dir):
     return shown(sample_n(state(spark, sf_dir).where("trigger_id = 0"), 75, 42))
 
 
-@query("pre3_random_no_replacement", STATE + K + f"st WHERE trigger_id <= 1 ORDER BY CASE WHEN trigger_id = 0 AND key % 2 = 0 THEN 1 ELSE 0 END, {H}, key LIMIT 200")
+@query("pre3_random_no_replacement", STATE + K + f"st WHERE trigger_id <= 1 ORDER BY CASE WHEN trigger_id = 0 AND label <= 1 THEN 1 ELSE 0 END, {H}, key LIMIT 200")
 def no_replacement(spark, sf_dir):
     st = state(spark, sf_dir).where("trigger_id <= 1")
-    used = st.where("trigger_id = 0 and key % 2 = 0").select("key", F.lit(5).alias("last_used"))
+    used = st.where("trigger_id = 0 and label <= 1").select("key", F.lit(5).alias("last_used"))
     return shown(selection.random_no_replacement(st, used, 3, 200))
 
 

@@ -17,9 +17,10 @@ sa AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_orderkey AS file_id, CAST
 FROM, TO = 900_000_000, 950_000_000
 
 
-@query("sc16_point_get", FILES + "SELECT key, label, sample_index FROM sa WHERE file_id IN (SELECT file_id FROM f WHERE file_id % 17 = 3)")
+@query("sc16_point_get", FILES + "SELECT key, label, sample_index FROM sa WHERE file_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def point_get(spark, sf_dir):
-    keys = samples(spark, sf_dir).where(F.col("file_id") % 17 == 3).select("key").distinct()
+    filled = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("file_id"))
+    keys = samples(spark, sf_dir).join(filled, "file_id", "left_semi").select("key").distinct()
     return catalog.get(samples(spark, sf_dir), keys).select("key", "label", "sample_index")
 
 
@@ -55,22 +56,24 @@ def available(spark, sf_dir):
     return asked.join(known, "name", "left").select("name", F.coalesce("_k", F.lit(False)).alias("available"))
 
 
-@query("sc22_register_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_mktsegment END AS segment FROM customer")
+@query("sc22_register_upsert", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'changed' ELSE c_mktsegment END AS segment FROM customer")
 def upsert(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    return catalog.upsert(c, c.where("c_custkey % 10 = 0").withColumn("segment", F.lit("changed")), "c_custkey")
+    c = load(spark, sf_dir, "customer")
+    shown = c.select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    return catalog.upsert(shown, c.where("c_acctbal < 0").select("c_custkey", F.lit("changed").alias("segment")), "c_custkey")
 
 
-@query("sc24_delete_recount", FILES + "SELECT file_id, count(*) AS number_of_samples FROM sa WHERE key % 7 <> 0 GROUP BY 1")
+@query("sc24_delete_recount", FILES + "SELECT file_id, count(*) AS number_of_samples FROM sa WHERE key NOT IN (SELECT key FROM sa WHERE label = 82) GROUP BY 1")
 def delete(spark, sf_dir):
     s = samples(spark, sf_dir)
-    return catalog.recount(catalog.delete_samples(s, s.where("key % 7 = 0").select("key").distinct()))
+    return catalog.recount(catalog.delete_samples(s, s.where("label = 82").select("key").distinct()))
 
 
-@query("sc13_ingest_new_files", FILES + f"SELECT CAST(file_id AS VARCHAR) AS path, updated_at FROM f WHERE updated_at >= {FROM} AND file_id % 3 <> 0")
+@query("sc13_ingest_new_files", FILES + f"SELECT CAST(file_id AS VARCHAR) AS path, updated_at FROM f WHERE updated_at >= {FROM} AND file_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
 def ingest(spark, sf_dir):
     listed = files(spark, sf_dir).select(F.col("file_id").cast("string").alias("path"), "updated_at")
-    return catalog.new_files(listed, listed.where(F.col("path").cast("long") % 3 == 0).select("path"), FROM)
+    known = load(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").cast("string").alias("path"))
+    return catalog.new_files(listed, known, FROM)
 
 
 @query("a3_distinct_files", FILES + "SELECT label, count(DISTINCT file_id) AS n_files FROM sa GROUP BY 1")
@@ -88,7 +91,7 @@ def latest(spark, sf_dir):
     return files(spark, sf_dir).agg(F.max("updated_at").alias("last"))
 
 
-@query("s7_new_at_boundary", STREAM + "SELECT key, timestamp FROM s WHERE timestamp >= 1705000000 AND key NOT IN (SELECT key FROM s WHERE timestamp < 1705000000 OR key % 2 = 0)")
+@query("s7_new_at_boundary", STREAM + "SELECT key, timestamp FROM s WHERE timestamp >= 1705000000 AND key NOT IN (SELECT key FROM s WHERE timestamp < 1705000000 OR label = 0)")
 def boundary(spark, sf_dir):
-    e = events(spark, sf_dir).select("key", "timestamp")
-    return e.where("timestamp >= 1705000000").join(e.where("timestamp < 1705000000 or key % 2 = 0").select("key"), "key", "left_anti")
+    e = events(spark, sf_dir)
+    return e.where("timestamp >= 1705000000").join(e.where("timestamp < 1705000000 or label = 0").select("key"), "key", "left_anti").select("key", "timestamp")

@@ -67,10 +67,10 @@ def weighted_loss(spark, sf_dir):
     return stream(spark, sf_dir).groupBy(F.floor(F.col("idx") / 256).alias("batch")).agg(F.round(F.sum(F.col("value") * (F.col("label") + 1)) / F.sum(F.col("label") + 1), 6).alias("loss"))
 
 
-@query("dn14_class_distances", "WITH e AS (SELECT vec_id, label, [CAST(v AS DOUBLE) FOR v IN embedding] AS x FROM embeddings WHERE label = 3) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum([(a.x[i] - b.x[i]) ** 2 FOR i IN range(1, 65)])), 5) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id")
+@query("dn14_class_distances", "WITH e AS (SELECT vec_id, label, [CAST(v AS DOUBLE) FOR v IN embedding] AS x FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum([(a.x[i] - b.x[i]) ** 2 FOR i IN range(1, 65)])), 5) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id AND a.label = b.label")
 def distances(spark, sf_dir):
-    """All pairs of one class; classes are the blocks within which coresets compare."""
-    e = rows(spark, sf_dir).where("label = 3").select("label", "key", "embedding")
+    """All pairs inside each class; classes are the blocks within which coresets compare."""
+    e = rows(spark, sf_dir).select("label", "key", "embedding")
     pairs = e.withColumnsRenamed({"key": "a", "embedding": "_a"}).join(e.withColumnsRenamed({"key": "b", "embedding": "_b"}), "label").where("a < b")
     return pairs.select("a", "b", F.round(arrays.euclidean(F.col("_a"), F.col("_b")), 5).alias("distance"))
 

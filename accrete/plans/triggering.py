@@ -91,10 +91,10 @@ def ensemble(spark, sf_dir):
 
 def windows(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
-    return e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    return e.where("label < 5"), e.where("label >= 5")
 
 
-DIMS = "WITH d AS (SELECT vec_id % 2 AS side, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
+DIMS = "WITH d AS (SELECT CASE WHEN label < 5 THEN 0 ELSE 1 END AS side, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
 
 
 @query("t10_mean_distance", DIMS + ", m AS (SELECT dim, avg(CASE WHEN side = 0 THEN x END) AS a, avg(CASE WHEN side = 1 THEN x END) AS b FROM d GROUP BY 1) SELECT round(sqrt(sum((a - b) * (a - b))), 6) AS distance FROM m")
