@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -158,3 +160,44 @@ def kolmogorov_smirnov(current: DataFrame, reference: DataFrame, column: str) ->
     upto, whole = Window.partitionBy("dim").orderBy("x"), Window.partitionBy("dim")
     gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
     return points.select("dim", gap.alias("g")).groupBy("dim").agg(F.max("g").alias("distance"))
+
+
+def cramer_von_mises(current: DataFrame, reference: DataFrame, column: str) -> DataFrame:
+    """dim and distance: n m / (n + m)^2 times the sum, over all points, of the squared difference of the two distributions."""
+    side = lambda df, a, b: df.select(F.posexplode(column).alias("dim", "x")).groupBy("dim", "x").agg(F.count("*").alias("n")).select("dim", "x", (F.col("n") * a).alias("a"), (F.col("n") * b).alias("b"))
+    points = side(current, 1, 0).unionAll(side(reference, 0, 1)).groupBy("dim", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    upto, whole = Window.partitionBy("dim").orderBy("x"), Window.partitionBy("dim")
+    n, m = F.sum("a").over(whole), F.sum("b").over(whole)
+    gap = F.sum("a").over(upto) / n - F.sum("b").over(upto) / m
+    points = points.select("dim", ((F.col("a") + F.col("b")) * gap * gap).alias("g"), (n * m / ((n + m) * (n + m))).alias("f"))
+    return points.groupBy("dim").agg((F.sum("g") * F.first("f")).alias("distance"))
+
+
+def drifted_share(per_dim: DataFrame, threshold: float) -> DataFrame:
+    """distance: the share of dimensions whose own distance exceeds the threshold."""
+    return per_dim.agg(F.avg((F.col("distance") > threshold).cast("double")).alias("distance"))
+
+
+def mmd(current: DataFrame, reference: DataFrame, column: str, bandwidth: float, features: int = 512, seed: int = 7) -> DataFrame:
+    """distance: squared maximum mean discrepancy under a Gaussian kernel, by random Fourier features.
+
+    The mean kernel over all pairs would need a product of the windows; the features need one pass: each partition gives
+    the sum of its vectors' features, and the means of both windows are compared.
+    """
+
+    def sums(batches):
+        total, n = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["v"].to_list()).astype("float64")
+            r = np.random.default_rng(seed)
+            w, b = r.normal(0, 1 / bandwidth, (x.shape[1], features)), r.uniform(0, 2 * np.pi, features)
+            z = np.sqrt(2 / features) * np.cos(x @ w + b).sum(0)
+            total, n = z if total is None else total + z, n + len(x)
+        if n:
+            yield pd.DataFrame({"i": np.arange(features), "s": total, "n": n})
+
+    mean = lambda df, name: df.select(F.col(column).alias("v")).mapInPandas(sums, "i long, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias(name))
+    both = mean(current, "a").join(mean(reference, "b"), "i")
+    return both.agg(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("distance"))

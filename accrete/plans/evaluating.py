@@ -109,3 +109,19 @@ def sizes(spark, sf_dir):
     i = ev.slices(spark, START - 604_800, END, 604_800)
     counts = events(spark, sf_dir).groupBy((F.floor((F.col("timestamp") - START) / 604_800) * 604_800 + START).alias("start")).agg(F.count("*").alias("n"))
     return i.join(counts, "start", "left").select("start", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "empty").otherwise("ok").alias("status"))
+
+
+@query("e11_interval_accuracy", GUESSES + f", s2 AS (SELECT key, timestamp FROM s), i AS (SELECT CAST(range - 172800 AS BIGINT) AS a, CAST(range + 86400 AS BIGINT) AS b FROM range({START}, {END} + 1, 432000)) SELECT a AS start, count(*) AS n, round(avg(CAST(y = p AS DOUBLE)), 9) AS accuracy FROM g JOIN s2 USING (key) JOIN i ON timestamp >= a AND timestamp <= b GROUP BY 1")
+def by_interval(spark, sf_dir):
+    """All requests in one job: guesses meet the intervals (a configuration's list) that hold them, which may overlap."""
+    at = events(spark, sf_dir).select("key", "timestamp")
+    i = ev.periodic(spark, START, END, 432_000, "[-2d; +1d]").select(F.col("start").alias("a"), F.col("end").alias("b"))
+    rows = guesses(spark, sf_dir).join(at, "key").join(F.broadcast(i), (F.col("timestamp") >= F.col("a")) & (F.col("timestamp") <= F.col("b")))
+    return ev.accuracy(rows, ["a"]).select(F.col("a").alias("start"), "n", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("e14_equivalent_runs", "SELECT md5(c_mktsegment || ':' || CAST(c_nationkey AS VARCHAR)) AS config, count(*) AS n, round(avg(c_acctbal), 4) AS value FROM customer GROUP BY 1")
+def equivalent(spark, sf_dir):
+    """Runs whose configurations agree but for their seed (here the customer's key) are one group."""
+    c = load(spark, sf_dir, "customer")
+    return c.groupBy(F.md5(F.concat_ws(":", "c_mktsegment", F.col("c_nationkey").cast("string"))).alias("config")).agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("value"))

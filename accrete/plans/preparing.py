@@ -96,3 +96,21 @@ def dense_labels(spark, sf_dir):
 @query("pf13_linearized", "SELECT c_custkey, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS new_id FROM customer")
 def linearized(spark, sf_dir):
     return runlog.linearized(load(spark, sf_dir, "customer"), "c_nationkey", "c_custkey").select("c_custkey", F.col("new_id").cast("long").alias("new_id"))
+
+
+@query("sc38_page_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def titles(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("w10_fractional_place", STREAM + ", d AS (SELECT (timestamp - 1704067200) // 86400 AS day, min(timestamp) AS a FROM s GROUP BY 1), p AS (SELECT day, a, lead(a) OVER (ORDER BY day) AS b FROM d) SELECT key, round(p.day + (s.timestamp - a)::DOUBLE / (coalesce(b, a + 86400) - a), 6) AS place FROM s JOIN p ON (s.timestamp - 1704067200) // 86400 = p.day")
+def places(spark, sf_dir):
+    """Where a sample lies between its period's first sample and the next period's; one row a period in the window."""
+    from pyspark.sql import Window
+
+    from accrete.plans.tables import events
+
+    e = events(spark, sf_dir).withColumn("day", F.floor((F.col("timestamp") - 1704067200) / 86400))
+    periods = e.groupBy("day").agg(F.min("timestamp").alias("a"))
+    periods = periods.withColumn("b", F.coalesce(F.lead("a").over(Window.partitionBy(F.lit(0)).orderBy("day")), F.col("a") + 86400))
+    return e.join(periods, "day").select("key", F.round(F.col("day") + (F.col("timestamp") - F.col("a")) / (F.col("b") - F.col("a")), 6).alias("place"))

@@ -115,3 +115,22 @@ def ks(spark, sf_dir):
 @query("t27_maximum_triggers", STREAM + "SELECT idx // 300 AS trigger_id, count(*) AS n FROM s WHERE idx < least(900, (SELECT count(*) // 300 * 300 FROM s)) GROUP BY 1")
 def at_most(spark, sf_dir):
     return triggers.amount_trigger(stream(spark, sf_dir), 300).where("trigger_id < 3").groupBy("trigger_id").agg(F.count("*").alias("n"))
+
+
+PER_DIM = DIMS + ", p AS (SELECT dim, x, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS b FROM d GROUP BY 1, 2), g AS (SELECT dim, a + b AS c, sum(a) OVER w / sum(a) OVER v - sum(b) OVER w / sum(b) OVER v AS g, sum(a) OVER v AS n, sum(b) OVER v AS m FROM p WINDOW w AS (PARTITION BY dim ORDER BY x), v AS (PARTITION BY dim))"
+
+
+@query("t9_cramer_von_mises", PER_DIM + " SELECT CAST(dim AS BIGINT) AS dim, round((sum(c * g * g) * max(n) * max(m) / ((max(n) + max(m)) * (max(n) + max(m))))::DOUBLE, 6) AS distance FROM g GROUP BY 1")
+def cvm(spark, sf_dir):
+    got = triggers.cramer_von_mises(*windows(spark, sf_dir), "embedding")
+    return got.select(F.col("dim").cast("long").alias("dim"), F.round("distance", 6).alias("distance"))
+
+
+@query("t10_drifted_share", PER_DIM + ", k AS (SELECT dim, max(abs(g)) AS k FROM g GROUP BY 1) SELECT round(avg(CAST(k > 0.15 AS DOUBLE)), 9) AS distance FROM k")
+def drifted(spark, sf_dir):
+    return triggers.drifted_share(triggers.kolmogorov_smirnov(*windows(spark, sf_dir), "embedding"), 0.15).select(F.round("distance", 9).alias("distance"))
+
+
+@query("t9_mmd")
+def mmd(spark, sf_dir):
+    return triggers.mmd(*windows(spark, sf_dir), "embedding", 8.0).select(F.round("distance", 6).alias("distance"))
