@@ -39,13 +39,18 @@ SHARE = 500
 
 
 def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of `size` words."""
-    n = len(h) - size + 1
-    if n < 1:
+    """A 64-bit hash of each run of `size` words, from those of runs of 1, 2, 4, .. words."""
+    if len(h) < size:
         return np.zeros(0, np.uint64)
-    got = np.full(n, size, np.uint64)
-    for k in range(size):
-        got = _mixed(got * np.uint64(31) + h[k : k + n])
+    got, covered, power, width = None, 0, _mixed(h + np.uint64(size)), 1
+    while covered < size:
+        if size & width:
+            n = len(h) - covered - width + 1
+            got = power[:n] if got is None else _mixed(got[:n] * np.uint64(31) + power[covered : covered + n])
+            covered += width
+        if covered < size:
+            power = _mixed(power[:-width] * np.uint64(31) + power[width:])
+            width *= 2
     return got
 
 
@@ -154,9 +159,9 @@ def _windows(segments: DataFrame, window: int) -> DataFrame:
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            for doc_id, segment, h in zip(batch["doc_id"].tolist(), batch["segment"].tolist(), batch["hashes"].tolist(), strict=True):
-                found = np.unique(run_hashes(np.asarray(h, "int64").view(np.uint64), window)).view("int64")
-                yield pd.DataFrame({"window": found, "doc_id": np.int64(doc_id), "segment": np.int32(segment)})
+            found = [np.unique(run_hashes(np.asarray(h, "int64").view(np.uint64), window)).view("int64") for h in batch["hashes"].tolist()]
+            sizes = [len(f) for f in found]
+            yield pd.DataFrame({"window": np.concatenate(found) if found else np.zeros(0, "int64"), "doc_id": np.repeat(batch["doc_id"].values, sizes), "segment": np.repeat(batch["segment"].values, sizes)})
 
     return segments.mapInPandas(batches, "window long, doc_id long, segment int")
 
@@ -205,7 +210,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
     spans = united.select("doc_id", merged(F.col("_found")).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return table.select("doc_id", "n_words").join(spans, "doc_id", "left").withColumn("spans", F.coalesce("spans", empty))
+    return table.select("doc_id", "n_words").dropDuplicates(["doc_id"]).join(spans, "doc_id", "left").withColumn("spans", F.coalesce("spans", empty))
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
