@@ -69,3 +69,18 @@ def test_requests(spark):
     trained = {r["start"]: r["id_model"] for r in rows if r["trained"]}
     assert active == {5: 21, 10: 23}
     assert trained == {0: 21, 5: 22, 10: 23}
+
+
+def test_mmd_is_near_the_mean_kernel(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(0)
+    a, b = r.normal(0, 1, (80, 4)), r.normal(0.8, 1, (80, 4))
+    kernel = lambda x, y: np.exp(-((x[:, None] - y[None]) ** 2).sum(-1) / (2 * 2.0**2)).mean()
+    exact = kernel(a, a) + kernel(b, b) - 2 * kernel(a, b)
+    frame = lambda x: spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    got = triggers.mmd(frame(a), frame(b), "v", 2.0, features=4096).first()["distance"]
+    assert got == pytest.approx(exact, abs=0.03)
+    same = triggers.mmd(frame(a), frame(a), "v", 2.0).select(F.round("distance", 9).alias("distance")).first()["distance"]
+    assert same == 0
