@@ -1,10 +1,9 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows.
 
-1. Gate: a window as similar as asked for shares a SHINGLE-word run with its item, so only places where a document holds
-   a run of some item are looked at; the run's place in the item says where the item-sized window starts.
-2. Each such window of the item's length gets a 64-bit SimHash of its words. A multi-index over BLOCKS = RADIUS + 1 blocks
-   of bits joins windows and items of equal length that agree in a block: two fingerprints within RADIUS bits agree in at
-   least one, so all of them are found; farther ones are then dropped.
+1. Gate: the weights of the runs of SHINGLE words that a document shares with an item must sum up to `similar` of the item's
+   own, as a smaller sum can't give the similarity. What is left is counted so for each item-sized window that
+   holds such a run, wherever it starts in the document; a document shorter than the item is one window.
+2. Each such window gets a 64-bit SimHash of its words; windows farther than RADIUS bits from the item's are dropped.
 3. The exact weighted similarity of the shingle multisets decides: the sum of smaller over the sum of larger counts, each
    shingle weighted by its rarity among the items, ln(1 + items / items that hold it).
 
@@ -26,7 +25,8 @@ from accrete.llm.text import words
 
 SHINGLE, SIMILAR = 5, 0.8
 RADIUS = 12
-BLOCKS = RADIUS + 1
+#: Similarities are rounded to six places; sums of weights may differ in the last bits.
+SLACK = 1e-6
 MOST_ITEMS = 20_000
 #: Signs that don't tell words apart.
 PUNCTUATION = ".,;:!?\"'()[]"
@@ -53,13 +53,6 @@ def _fingerprint(df: DataFrame, hashes: str) -> DataFrame:
     return df.withColumn("print", F.expr(f"aggregate({bits}, 0L, (s, x) -> s | x)"))
 
 
-def _blocks(df: DataFrame, column: str) -> DataFrame:
-    """df once a block of the fingerprint in the column: block (its number) and bits."""
-    edges = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
-    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(column, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return df.withColumn("_b", F.explode(F.array(*parts))).withColumn("block", F.col("_b.block")).withColumn("bits", F.col("_b.bits")).drop("_b")
-
-
 def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, item_id, start (a word's place), n_words and similarity of each item that a document holds."""
     items = items.where("item_id is not null").select("item_id", _hashes(F.col("text")).alias("hashes"))
@@ -67,30 +60,37 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFr
     n_items = items.count()
     small = (lambda df: F.broadcast(df)) if n_items <= MOST_ITEMS else (lambda df: df)
     items = _fingerprint(items, "hashes")
-    places = items.select("length", F.posexplode("shingles").alias("at", "shingle")).distinct()
-    # outer, as otherwise a filter on the array's size is pushed below all that makes the array, and computes it many times
-    held = _with_shingles(docs.where("doc_id is not null").select("doc_id", _hashes(F.col("text")).alias("hashes"))).select("doc_id", F.posexplode_outer("shingles").alias("pos", "shingle"))
-    hits = held.join(small(places), "shingle").where("pos >= at").select("doc_id", "length", (F.col("pos") - F.col("at")).alias("start")).distinct()
-    wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("_w"))
-    windows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "_w", _hashes(F.col("text")).alias("hashes"))
-    windows = windows.select("doc_id", F.explode("_w").alias("w"), "hashes").where("w.start + w.length <= size(hashes)")
-    windows = windows.select("doc_id", "w.start", "w.length", F.slice("hashes", F.col("w.start") + 1, F.col("w.length")).alias("hashes"))
-    windows = _fingerprint(windows, "hashes")
-    known = _blocks(items.select("item_id", "length", F.col("print").alias("item_print")), "item_print").select("item_id", "length", "item_print", "block", "bits")
-    near = _blocks(windows, "print").join(small(known), ["length", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.dropDuplicates(["doc_id", "item_id", "start"]).select("doc_id", "item_id", "start", "length", "hashes")
-    # exact: shingle counts of window and item, weighted by rarity among the items
+    # shingle counts of the items, weighted by rarity among them
     of_items = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id", "shingle").agg(F.count("*").alias("there"))
     weight = of_items.groupBy("shingle").agg(F.log1p(n_items / F.count("*")).alias("weight"))
     of_items = of_items.join(weight, "shingle")
     totals = of_items.groupBy("item_id").agg(F.sum(F.col("there") * F.col("weight")).alias("item_total"))
-    here = _with_shingles(near).select("doc_id", "item_id", "start", "length", F.explode("shingles").alias("shingle")).groupBy("doc_id", "item_id", "start", "length", "shingle").agg(F.count("*").alias("here"))
+    known = of_items.join(totals, "item_id").join(items.select("item_id", "length").distinct(), "item_id").select("item_id", "length", "item_total", "shingle", "weight")
+    # outer, as otherwise a filter on the array's size is pushed below all that makes the array, and computes it many times
+    held = _with_shingles(docs.where("doc_id is not null").select("doc_id", _hashes(F.col("text")).alias("hashes"))).select("doc_id", F.xxhash64("hashes").alias("copy"), F.size("hashes").alias("size"), F.posexplode_outer("shingles").alias("pos", "shingle"))
+    pair = ["doc_id", "copy", "size", "item_id", "length", "item_total"]
+    enough = F.col("held") >= F.col("item_total") * (similar - SLACK) - SLACK
+    pairs = held.join(small(known), "shingle").groupBy(*pair).agg(F.sum("weight").alias("held"), F.collect_list(F.struct("pos", "weight")).alias("_at")).where(enough)
+    # every start of a window that holds the run; a document shorter than the item is one window
+    last = F.greatest(F.col("size") - F.col("length"), F.lit(0))
+    first = F.greatest(F.least(F.col("_p.pos") - F.col("length") + SHINGLE, last), F.lit(0))
+    starts = pairs.withColumn("_p", F.explode("_at")).select(*pair, "_p.weight", F.explode(F.sequence(first, F.least("_p.pos", last))).alias("start"))
+    starts = starts.groupBy(*pair, "start").agg(F.sum("weight").alias("held")).where(enough)
+    wanted = starts.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "item_id", "start", "length")).alias("_w"))
+    windows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "_w", _hashes(F.col("text")).alias("hashes")).withColumn("copy", F.xxhash64("hashes"))
+    cut_out = F.transform(F.filter("_w", lambda w: w["copy"] == F.col("copy")), lambda w: F.struct(w["item_id"].alias("item_id"), w["start"].alias("start"), w["length"].alias("length"), F.slice("hashes", w["start"] + 1, w["length"]).alias("hashes")))
+    windows = windows.select("doc_id", "copy", F.explode(cut_out).alias("w")).select("doc_id", "copy", "w.*").dropDuplicates(["doc_id", "copy", "item_id", "start", "length"])
+    prints = items.select("item_id", "length", F.col("print").alias("item_print"))
+    near = _fingerprint(windows, "hashes").join(small(prints), ["item_id", "length"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = near.dropDuplicates(["doc_id", "copy", "item_id", "start", "length"]).select("doc_id", "copy", "item_id", "start", "length", "hashes")
+    window = ["doc_id", "copy", "item_id", "start", "length", "n_words"]
+    here = _with_shingles(near.withColumn("n_words", F.size("hashes"))).select(*window, F.explode("shingles").alias("shingle")).groupBy(*window, "shingle").agg(F.count("*").alias("here"))
     here = here.join(small(weight), "shingle", "left").join(small(of_items.select("item_id", "shingle", "there")), ["item_id", "shingle"], "left")
     heavy = F.coalesce("weight", F.log1p(F.lit(float(n_items))))
-    sums = here.groupBy("doc_id", "item_id", "start", "length").agg(F.sum(F.least("here", F.coalesce("there", F.lit(0))) * heavy).alias("common"), F.sum(F.col("here") * heavy).alias("total"))
+    sums = here.groupBy(*window).agg(F.sum(F.least("here", F.coalesce("there", F.lit(0))) * heavy).alias("common"), F.sum(F.col("here") * heavy).alias("total"))
     scored = sums.join(small(totals), "item_id").withColumn("similarity", F.round(F.col("common") / (F.col("total") + F.col("item_total") - F.col("common")), 6)).where(F.col("similarity") >= similar)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "length", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start"), F.col("b.length").cast("long").alias("n_words"), "b.similarity")
+    best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"), "n_words")).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), "b.similarity")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:

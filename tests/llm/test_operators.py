@@ -194,6 +194,27 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_edges(spark):
+    items = {n: prose(n, 300 + n).split() for n in (16, 24, 40, 59)}
+    rows, expected = [], {}
+    for k, (n, w) in enumerate(items.items()):
+        before, after, swapped = prose(30, 310 + k).split(), prose(30, 320 + k).split(), w[n // 2 :] + w[: n // 2]
+        docs = {"starts": (w[1:] + after, 0, n), "ends": (before + w[:-1], 29, n), "all but first": (w[1:], 0, n - 1), "all but last": (w[:-1], 0, n - 1), "inside": (before + w + after, 30, n)}
+        if n == 59:
+            docs["swapped"] = (before + swapped + after, 30, n)
+        for name, (words, start, size) in docs.items():
+            rows.append((f"{name} {n}", " ".join(words)))
+            expected[f"{name} {n}", n] = (start, size)
+        rows.append((f"half {n}", " ".join(w[: n // 2])))
+    # one document in two versions, of which only one holds an item
+    rows += [("two", prose(80, 330)), ("two", prose(10, 331) + " " + " ".join(items[24]))]
+    expected["two", 24] = (10, 24)
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = decontamination.leaks(docs, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"]) for r in got} == expected
+    assert len(got) == len(expected)
+
+
 def test_chats(spark):
     said = ["</s>[INST] ok [/INST]", "\\", "<\\s>", "a\\<s>", None, "", "[/INST]\n</s><s>[INST]x", "plain", "<s", "[INST", "é🙂</s>", "x\\"]
     rows = [(c, t, ["user", "assistant"][t % 2], said[(c + t) % len(said)], "extra") for c in range(12) for t in range(5)]
