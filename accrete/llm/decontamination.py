@@ -1,11 +1,13 @@
-"""Benchmark decontamination by SimHash fingerprints of item-sized windows.
+"""Benchmark decontamination by the exact similarity of item-sized windows.
 
 1. Gate: the weights of the runs of SHINGLE words that a document shares with an item must sum up to `similar` of the item's
    own, as a smaller sum can't give the similarity. What is left is counted so for each item-sized window that
    holds such a run, wherever it starts in the document; a document shorter than the item is one window.
-2. Each such window gets a 64-bit SimHash of its words; windows farther than RADIUS bits from the item's are dropped.
-3. The exact weighted similarity of the shingle multisets decides: the sum of smaller over the sum of larger counts, each
-   shingle weighted by its rarity among the items, ln(1 + items / items that hold it).
+2. The exact weighted similarity of the shingle multisets decides on each such window: the sum of smaller over the sum of larger
+   counts, each shingle weighted by its rarity among the items, ln(1 + items / items that hold it).
+
+There are no fingerprints: windows at 0.8 may differ from their item in any number of SimHash bits, of words and of
+weighted runs alike, so that each radius loses some. The gate loses none.
 
 Words are compared in lower case without PUNCTUATION. Everything is a DataFrame expression. The benchmark's tables are
 broadcast only if the benchmark has MOST_ITEMS items or fewer (counted first); beyond that they are joined by shuffles.
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from accrete.llm.text import words
 
 SHINGLE, SIMILAR = 5, 0.8
-RADIUS = 12
 #: Similarities are rounded to six places; sums of weights may differ in the last bits.
 SLACK = 1e-6
 MOST_ITEMS = 20_000
@@ -46,20 +47,12 @@ def _with_shingles(df: DataFrame) -> DataFrame:
     return df.withColumn("shingles", F.slice("_five", 1, F.greatest(F.size("hashes") - SHINGLE + 1, F.lit(0)))).drop("_two", "_four", "_five")
 
 
-def _fingerprint(df: DataFrame, hashes: str) -> DataFrame:
-    """df with print, the SimHash of the hashes: a bit is set where more of them have it than not."""
-    vote = f"aggregate({hashes}, 0, (s, h) -> s + cast(shiftrightunsigned(h, b) & 1L as int) * 2 - 1)"
-    bits = f"transform(sequence(0, 63), b -> CASE WHEN {vote} > 0 THEN shiftleft(1L, b) ELSE 0L END)"
-    return df.withColumn("print", F.expr(f"aggregate({bits}, 0L, (s, x) -> s | x)"))
-
-
 def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, item_id, start (a word's place), n_words and similarity of each item that a document holds."""
     items = items.where("item_id is not null").select("item_id", _hashes(F.col("text")).alias("hashes"))
     items = _with_shingles(items).where(F.size("hashes") >= SHINGLE).withColumn("length", F.size("hashes"))
     n_items = items.count()
     small = (lambda df: F.broadcast(df)) if n_items <= MOST_ITEMS else (lambda df: df)
-    items = _fingerprint(items, "hashes")
     # shingle counts of the items, weighted by rarity among them
     of_items = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("item_id", "shingle").agg(F.count("*").alias("there"))
     weight = of_items.groupBy("shingle").agg(F.log1p(n_items / F.count("*")).alias("weight"))
@@ -80,11 +73,8 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFr
     windows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "_w", _hashes(F.col("text")).alias("hashes")).withColumn("copy", F.xxhash64("hashes"))
     cut_out = F.transform(F.filter("_w", lambda w: w["copy"] == F.col("copy")), lambda w: F.struct(w["item_id"].alias("item_id"), w["start"].alias("start"), w["length"].alias("length"), F.slice("hashes", w["start"] + 1, w["length"]).alias("hashes")))
     windows = windows.select("doc_id", "copy", F.explode(cut_out).alias("w")).select("doc_id", "copy", "w.*").dropDuplicates(["doc_id", "copy", "item_id", "start", "length"])
-    prints = items.select("item_id", "length", F.col("print").alias("item_print"))
-    near = _fingerprint(windows, "hashes").join(small(prints), ["item_id", "length"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.dropDuplicates(["doc_id", "copy", "item_id", "start", "length"]).select("doc_id", "copy", "item_id", "start", "length", "hashes")
     window = ["doc_id", "copy", "item_id", "start", "length", "n_words"]
-    here = _with_shingles(near.withColumn("n_words", F.size("hashes"))).select(*window, F.explode("shingles").alias("shingle")).groupBy(*window, "shingle").agg(F.count("*").alias("here"))
+    here = _with_shingles(windows.withColumn("n_words", F.size("hashes"))).select(*window, F.explode("shingles").alias("shingle")).groupBy(*window, "shingle").agg(F.count("*").alias("here"))
     here = here.join(small(weight), "shingle", "left").join(small(of_items.select("item_id", "shingle", "there")), ["item_id", "shingle"], "left")
     heavy = F.coalesce("weight", F.log1p(F.lit(float(n_items))))
     sums = here.groupBy(*window).agg(F.sum(F.least("here", F.coalesce("there", F.lit(0))) * heavy).alias("common"), F.sum(F.col("here") * heavy).alias("total"))

@@ -215,6 +215,19 @@ def test_decontamination_edges(spark):
     assert len(got) == len(expected)
 
 
+def test_decontamination_recall(spark):
+    """Passages whose first words are replaced, down to the similarity asked for: all are found."""
+    items, rows, expected = [], [], {}
+    for k in range(200):
+        n, changed = ((40, 4), (60, 6), (60, 5), (24, 2))[k % 4]
+        w = prose(n, 1000 + k).split()
+        items.append((k, " ".join(w)))
+        rows.append((k, " ".join([*prose(15, 2000 + k).split(), *(f"new{k}x{j}" for j in range(changed)), *w[changed:], *prose(15, 3000 + k).split()])))
+        expected[k, k] = round((n - 4 - changed) / (n - 4 + changed), 6)
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()} == expected
+
+
 def test_chats(spark):
     said = ["</s>[INST] ok [/INST]", "\\", "<\\s>", "a\\<s>", None, "", "[/INST]\n</s><s>[INST]x", "plain", "<s", "[INST", "é🙂</s>", "x\\"]
     rows = [(c, t, ["user", "assistant"][t % 2], said[(c + t) % len(said)], "extra") for c in range(12) for t in range(5)]
