@@ -1,9 +1,9 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard verification, union-find.
 
 A line is what lies between line feeds, compared without white space around it; lines without a word aren't judged. A
-line's shingles are the SHINGLE characters from each word's start on, or the whole word if it is longer (fewer at the
-line's end), so that every character lies in one. Two lines are alike if the Jaccard similarity of their sets is SIMILAR or more; components of alike lines keep their first line, by doc_id and
-then by place, and the others go.
+line's shingles are the SHINGLE characters from each word's start on (fewer at the line's end) and, inside words that are longer,
+from each character on that has as many left in its word, so that text without spaces has a shingle at every character. Two lines are alike if the Jaccard similarity of
+their sets is SIMILAR or more; components of alike lines keep their first line, by doc_id and then by place, and the others go.
 
 1. Every line gets a 64-bit id (its hash), so that equal lines are one from here on, and up to BANDS band keys. The hashes of
    its shingles lie on a circle; from each of BANDS fixed points on it, the next ROWS hashes of the line are one key: the
@@ -44,8 +44,8 @@ BUCKET = 24
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of a line's shingles, ascending."""
-    # each match goes on to the end of its word, so that no place inside of words is tried
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\S{{{SHINGLE},}}|\\S.{{0,{SHINGLE - 1}}}))\\S++"), F.lit(1))
+    # a match goes on by one character while a longer word has a shingle left, and else to the end of its word
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\S{{{SHINGLE}}}|\\S.{{0,{SHINGLE - 1}}}))(?:\\S(?=\\S{{{SHINGLE}}})|\\S++)"), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s))))
 
 

@@ -180,6 +180,31 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_without_spaces(spark):
+    """Against the shingles of every character."""
+    r = random.Random(9)
+    rows, gone = [], set()
+    alphabets = {"chinese": [chr(0x4E00 + i) for i in range(3000)], "encoded": list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), "emoji": [chr(0x1F300 + i) for i in range(300)]}
+    for name, letters in alphabets.items():
+        for n in (80, 300):
+            line = [r.choice(letters) for _ in range(n)]
+            near, far = list(line), list(line)
+            near[n // 2] = "x"  # 0.78 for 80 characters, 0.94 for 300
+            for i in range(0, n, 10):
+                far[i] = "x"
+            rows += [(f"{name} {n} 0", "".join(line)), (f"{name} {n} 1", "".join(near)), (f"{name} {n} 2", "".join(far))]
+            gone |= {f"{name} {n} 1"} if n == 300 else set()
+    rows += [("short 0", "abcdefgh"), ("short 1", "abcdefgi"), ("short 2", "abcdefghi"), ("short 3", "abcdefghij")]
+    texts = dict(rows)
+    sets = {i: {t[k : k + 9] for k in range(max(1, len(t) - 8))} for i, t in rows}
+    root = jaccard_components(sorted(texts), sets, lambda i, u: i >= 0.8 * u)
+    assert {i for i in texts if root[i] != i} == gone
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {x["doc_id"] for x in got if x["n_removed"]} == gone
+    known = spark.createDataFrame([(t,) for t in texts.values()], "line string").select("line", F.size(line_dedup.shingles(F.col("line"))).alias("n")).collect()
+    assert {x["line"]: x["n"] for x in known} == {texts[i]: len(s) for i, s in sets.items()}
+
+
 def test_decontamination(spark):
     items = [(1, prose(40, 70)), (2, prose(15, 71)), (3, None), (4, "too few words"), (5, prose(59, 72)), (6, prose(40, 70))]
     one_off = prose(59, 72).split()
