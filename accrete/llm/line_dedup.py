@@ -1,19 +1,23 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard verification, union-find.
 
 A line is what lies between line feeds, compared without white space around it; lines without a word aren't judged. A
-line's shingles are the SHINGLE characters from each word's start on (fewer at the line's end) and, inside words that are longer,
-from each character on that has as many left in its word, so that text without spaces has a shingle at every character. Two lines are alike if the Jaccard similarity of
-their sets is SIMILAR or more; components of alike lines keep their first line, by doc_id and then by place, and the others go.
-
-1. Every line gets a 64-bit id (its hash), so that equal lines are one from here on, and up to BANDS band keys. The hashes of
-   its shingles lie on a circle; from each of BANDS fixed points on it, the next ROWS hashes of the line are one key: the
-   ROWS least under the order that starts there. Two lines of similarity s agree in a band with a probability of about
-   s ** ROWS, so that a pair at 0.8 is missed with about 0.005, at 0.9 with 2e-5.
-2. Lines that share a key are candidates. A bucket of up to BUCKET lines compares all its pairs. A larger one compares
-   every member with its leader and with its neighbours in order of its number of shingles; each band has a leader and an order of its own.
-   So a large bucket gives a number of pairs in proportion to its size, and the lines of a large group find each other by any of many leaders.
-3. The full shingle sets of candidates are compared exactly, and components are found by star contraction. The ids of
-   candidates are broadcast to where lines are split if they are MOST_SENT or fewer (counted first), and joined otherwise.
+line's shingles are its runs of SHINGLE characters, one at every character (a shorter line is one shingle). Two lines are
+alike if the Jaccard similarity of these sets is SIMILAR or more; components of alike lines keep their first line, by
+doc_id and then by place, and the others go.
+
+1. Every line gets a 64-bit id (its hash), so that equal lines are one from here on, and band keys of its signature. The
+   signature of a line with few words, or with few words for its length, is that of all its shingles. For other lines it is that
+   of the shingles at word starts, a sample by content of SAMPLED or more; lines near the border have both, so that two
+   alike lines have one in common. The sampled hashes lie on a circle; from each of BANDS fixed points on it, the next ROWS
+   hashes of the line are one key: the ROWS least under the order that starts there. Two sets of similarity s agree in a
+   band with a probability of about s ** ROWS: a pair at 0.8 is missed with 0.002, at 0.9 with 1e-5.
+2. Lines that share a key are candidates. A bucket of up to BUCKET lines compares all its pairs; in a larger one every line
+   is compared with the bucket's leader first. Where a large bucket still holds several components, its lines are banded
+   once more by all their shingles with FINE_ROWS hashes a key and FINE_BANDS keys (a pair at 0.8 is missed with 0.001), which tells
+   lines of one template apart. Large buckets of these keys compare each line with their leader, and what still differs
+   in components is compared pair by pair, in blocks of at most BLOCK lines: nothing is capped.
+3. The full shingle sets of candidates decide, and components are found by star contraction. The places of candidates are
+   broadcast to where lines are split if they are MOST_SENT or fewer (counted first), and joined otherwise.
 
 Everything is a DataFrame expression. Groups of equal lines are aggregated before any shuffle; no bucket is gathered
 beyond BUCKET ids.
@@ -28,36 +32,57 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from accrete.llm.components import components
 from accrete.llm.text import SPACE
 from accrete.session import cut
 
 SHINGLE, SIMILAR = 9, 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 12, 4
+FINE_BANDS, FINE_ROWS = 40, 8
 #: Sets up to this size have a key from each of their hashes on.
 FEW = 16
+#: Distinct word starts from which on they stand for a line, and characters a word start; below and above the first and second
+#: of each pair only one of both signatures is made.
+SAMPLED, SPARSE = (24, 36), (12, 16)
 MOST_SENT = 300_000
-BUCKET = 24
+BUCKET, BLOCK = 8, 1024
 
 
 def shingles(line: Column) -> Column:
-    """Distinct hashes of a line's shingles, ascending."""
-    # a match goes on by one character while a longer word has a shingle left, and else to the end of its word
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\S{{{SHINGLE}}}|\\S.{{0,{SHINGLE - 1}}}))(?:\\S(?=\\S{{{SHINGLE}}})|\\S++)"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s))))
+    """Distinct hashes of a line's shingles."""
+    # of four bytes a character, so that each is found at once; the outer array makes the bytes once for all shingles
+    at = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
+    runs = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * SHINGLE)))))
+    return F.array_distinct(F.get(runs, F.lit(0)))
 
 
-def with_keys(lines: DataFrame) -> DataFrame:
-    """lines (with set, from `shingles`) with keys: the distinct ones of its bands."""
-    starts = [-(1 << 63) + k * ((1 << 64) // BANDS) for k in range(BANDS)]
+def with_keys(lines: DataFrame, name: str, bands: int, rows: int) -> DataFrame:
+    """lines (with set: hashes) with the column `name`: the distinct keys of its bands; null if set is."""
+    starts = [-(1 << 63) + k * ((1 << 64) // bands) for k in range(bands)]
+    lines = lines.withColumn("set", F.sort_array("set"))
     # the place of the first hash from each point on: the point's place among hashes and points, less the points before it
     among = lines.withColumn("_among", F.sort_array(F.concat("set", F.array(*[F.lit(x).cast("long") for x in starts]))))
     first = [(F.array_position("_among", F.lit(x).cast("long")) - 1 - k).cast("int") for k, x in enumerate(starts)]
     every = F.sequence(F.lit(0), F.size("set") - 1)
     lines = among.withColumn("_at", F.when(F.size("set") <= FEW, every).otherwise(F.array_distinct(F.array(*[x % F.size("set") for x in first]))))
-    return lines.drop("_among").withColumn("keys", F.transform("_at", lambda i: F.xxhash64(*[F.get("set", (i + k) % F.size("set")) for k in range(ROWS)]))).drop("_at")
+    keys = F.transform("_at", lambda i: F.xxhash64(F.lit(name), *[F.get("set", (i + k) % F.size("set")) for k in range(rows)]))
+    return lines.withColumn(name, F.when(F.col("set").isNotNull(), keys)).drop("_among", "_at", "set")
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """lines (with line) with keys: those of the signatures that it has."""
+    parts = lines.withColumn("_chars", F.length("line")).withColumn("_n", F.col("_chars") - F.length(F.replace("line", F.lit(" "))) + 1)
+    parts = parts.withColumn("_words", F.when(F.col("_n") >= SAMPLED[0], F.split("line", " ")))
+    half = (SHINGLE + 1) // 2
+    begins = F.zip_with("_words", F.slice("_words", 2, 1 << 30), lambda a, b: F.xxhash64(F.left(a, F.lit(SHINGLE)), F.left(b, F.lit(half))))
+    parts = parts.withColumn("_starts", F.array_distinct(begins)).withColumn("_n", F.coalesce(F.size("_starts"), F.lit(0)))
+    whole = (F.col("_n") < SAMPLED[1]) | (F.col("_chars") > SPARSE[0] * F.col("_n"))
+    sampled = (F.col("_n") >= SAMPLED[0]) & (F.col("_chars") <= SPARSE[1] * F.col("_n"))
+    got = with_keys(parts.withColumn("set", F.when(sampled, F.col("_starts"))).drop("_words", "_starts"), "_sampled", BANDS, ROWS)
+    got = with_keys(got.withColumn("set", F.when(whole, shingles(F.col("line")))), "_whole", BANDS, ROWS)
+    none = F.array().cast("array<bigint>")
+    return got.withColumn("keys", F.concat(F.coalesce("_sampled", none), F.coalesce("_whole", none))).drop("_sampled", "_whole", "_n", "_chars")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -66,44 +91,79 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.withColumn("line", F.btrim("line", F.lit(SPACE))).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def candidates(keyed: DataFrame) -> DataFrame:
-    """Pairs a < b of ids that share a band key. keyed: id, n (shingles) and keys, one row an id."""
-    rows = keyed.select("id", "n", F.explode_outer("keys").alias("key")).repartition("key")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(rows.join(sizes, "key"))
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def buckets(keyed: DataFrame) -> DataFrame:
+    """key, id, members and leader of each bucket with two lines or more. keyed: id and keys, one row an id."""
+    rows = keyed.select("id", F.explode_outer("keys").alias("key")).repartition("key")
+    return cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1"), "key"))
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """Pairs a < b: all of small buckets, and each line of a large one with its leader. shared: from `buckets`."""
     small = shared.where(F.col("members") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     pairs = small.select(F.explode(F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, BUCKET), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
+    return pairs.union(shared.where((F.col("members") > BUCKET) & (F.col("id") != F.col("leader"))).select(*_ordered("id", "leader"))).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Those pairs whose shingle sets are similar enough. texts: id and line of every id in a pair."""
+    sets = texts.select("id", shingles(F.col("line")).alias("set"))
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "_b"}), "b")
+    both = both.where(F.least(F.size("_a"), F.size("_b")) >= similar * F.greatest(F.size("_a"), F.size("_b"))).withColumn("common", F.size(F.array_intersect("_a", "_b")))
+    return both.where(F.col("common") >= similar * (F.size("_a") + F.size("_b") - F.col("common"))).select("a", "b")
+
+
+def unsettled(shared: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of large buckets in which a line isn't joined to the leader by an edge."""
     large = shared.where(F.col("members") > BUCKET)
-    leaders = large.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("leader"))
-    in_order = Window.partitionBy("key", "part").orderBy("n", F.xxhash64("id", "key"))
-    parts = large.withColumn("part", F.floor(F.log2("n") * 3))
-    chains = [parts.select("id", F.lag("id", k).over(in_order).alias("other")) for k in (1, 2)]
-    stars = large.join(leaders, "key").select("id", F.col("leader").alias("other"))
-    for more in chains:
-        stars = stars.union(more)
-    linked = stars.where("other is not null and id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    return pairs.union(linked).distinct()
+    far = large.where(F.col("id") != F.col("leader")).select("key", *_ordered("id", "leader")).join(edges, ["a", "b"], "left_anti")
+    return cut(large.join(far.select("key").distinct(), "key", "left_semi"))
+
+
+def across(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs a < b of a bucket whose roots differ: a line meets the others in blocks of at most BLOCK."""
+    rows = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    left = rows.select("key", F.col("id").alias("x"), F.col("root").alias("_x"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    right = rows.select("key", F.col("id").alias("y"), F.col("root").alias("_y"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return left.join(right, ["key", "block"]).where("x < y and _x <> _y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def links(known: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
+    """Edges a, b that join the ids of alike lines. known: id, first (doc and at) and keys; lines: from `_lines`."""
+    shared = buckets(known)
+    pairs = cut(candidates(shared))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(known.select("id", "first"), "id").select("id", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"))
+    wanted = cut(wanted)
+    sent = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+    texts = cut(lines.drop("id").join(sent, ["doc", "at"]).select("id", "line"))
+    edges = cut(alike(pairs, texts, similar))
+    if shared.where(F.col("members") > BUCKET).isEmpty() or (open_rows := unsettled(shared, edges)).isEmpty():
+        return edges
+    again = texts.join(open_rows.select("id").distinct(), "id")
+    fine = buckets(with_keys(again.withColumn("set", shingles(F.col("line"))), "keys", FINE_BANDS, FINE_ROWS).select("id", "keys"))
+    apart = candidates(fine).join(pairs, ["a", "b"], "left_anti")
+    edges = cut(edges.union(alike(apart, texts, similar)))
+    if fine.where(F.col("members") > BUCKET).isEmpty() or (left := unsettled(fine, edges)).isEmpty():
+        return edges
+    return cut(edges.union(alike(across(left, components(edges)), texts, similar)))
 
 
 def repeated_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc and at of each line that goes. docs: doc (orderable, one a row) and text."""
     lines = _lines(docs)
-    known = cut(lines.groupBy("id").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times")))
-    described = with_keys(lines.select("id", shingles(F.col("line")).alias("set"))).select("id", F.size("set").alias("n"), "keys")
+    described = signed(lines).select("id", F.struct("doc", "at").alias("place"), "keys")
     # written once: the counts of keys and the join need other columns of it, so that Spark would compute it for each
-    keyed = cut(described.groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
-    pairs = cut(candidates(keyed))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(known.select("id", "first"), "id").select("id", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"))
-    wanted = cut(wanted)
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
-    sets = lines.drop("id").join(wanted, ["doc", "at"]).select("id", shingles(F.col("line")).alias("set"))
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "_b"}), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("_a", "_b")))
-    alike = both.where(F.col("common") >= similar * (F.size("_a") + F.size("_b") - F.col("common"))).select("a", "b")
-    roots = components(alike)
-    merged = known.select("id", "first", "times").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    firsts = merged.groupBy("root").agg(F.min("first").alias("kept"), F.sum("times").alias("all")).where(F.col("all") > 1)
-    doubtful = merged.join(firsts, "root").select("id", "kept")
+    known = cut(described.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys")))
+    roots = components(links(known, lines, similar)).withColumnRenamed("node", "id")
+    known = known.select("id", "first", "times")
+    linked = known.join(roots, "id")
+    firsts = linked.groupBy("root").agg(F.min("first").alias("kept"))
+    repeated = known.where("times > 1").join(roots, "id", "left_anti").select("id", F.col("first").alias("kept"))
+    doubtful = linked.join(firsts, "root").select("id", "kept").union(repeated)
     return lines.select("doc", "at", "id").join(doubtful, "id").where(F.struct("doc", "at") != F.col("kept")).select("doc", "at")
 
 
