@@ -44,7 +44,7 @@ FINE_BANDS, FINE_ROWS = 40, 8
 FEW = 16
 #: Distinct word starts from which on they stand for a line, and characters a word start; below and above the first and second
 #: of each pair only one of both signatures is made.
-SAMPLED, SPARSE = (24, 36), (12, 16)
+SAMPLED, SPARSE = (16, 24), (12, 16)
 MOST_SENT = 300_000
 BUCKET, BLOCK = 8, 1024
 
@@ -110,10 +110,15 @@ def candidates(shared: DataFrame) -> DataFrame:
 
 def alike(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Those pairs whose shingle sets are similar enough. texts: id and line of every id in a pair."""
-    sets = texts.select("id", shingles(F.col("line")).alias("set"))
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "_b"}), "b")
-    both = both.where(F.least(F.size("_a"), F.size("_b")) >= similar * F.greatest(F.size("_a"), F.size("_b"))).withColumn("common", F.size(F.array_intersect("_a", "_b")))
-    return both.where(F.col("common") >= similar * (F.size("_a") + F.size("_b") - F.col("common"))).select("a", "b")
+    # texts travel and not sets, which are ten times as large; the outer array makes both sets once, also where a filter is pushed down
+    both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "_b"}), "b")
+
+    def near(s: Column) -> Column:
+        common = F.size(F.array_intersect(s["a"], s["b"]))
+        return common >= similar * (F.size(s["a"]) + F.size(s["b"]) - common)
+
+    sets = F.array(F.struct(shingles(F.col("_a")).alias("a"), shingles(F.col("_b")).alias("b")))
+    return both.where(F.get(F.transform(sets, near), F.lit(0))).select("a", "b")
 
 
 def unsettled(shared: DataFrame, edges: DataFrame) -> DataFrame:
