@@ -62,6 +62,17 @@ def parse(rendered: Column) -> Column:
     return F.when(well & (F.element_at(closed, -1) == ""), F.transform(parts, turn))
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The texts under the spans of a rendered text, unescaped."""
+
+    def read(all_bytes: Column, s: Column) -> Column:
+        text = F.decode(F.substring(all_bytes, (s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int")), "UTF-32")
+        return F.when(s["escaped"], unescape(text)).otherwise(text)
+
+    # four bytes a character, so that a span is found at once; the outer array makes the bytes once for all spans
+    return F.flatten(F.transform(F.array(F.encode(formatted, "UTF-32")), lambda b: F.transform(spans, lambda s: read(b, s))))
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) with rendered and escaped, each turn by itself."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -73,14 +84,15 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Per conversation: formatted, turns (role, text, body as read back from it) and loss_spans.
+    """Per conversation: formatted, turns (role, text, body as read back from it), loss_spans and loss_texts.
 
-    loss_spans: code points start and end (exclusive) in formatted of each text that is trained on, as it is rendered.
+    loss_spans: code points start and end (exclusive) in formatted of each text that is trained on, as it is rendered, and
+    whether it is escaped there. loss_texts: what formatted holds under these spans, unescaped.
     """
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = format_turns(turns).withColumn("_at", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)))
     head = F.when(F.col("escaped"), F.length(escape(F.col("role"))) + len(ESCAPED)).otherwise(F.length("role")) + len(OPEN) + len(ROLE_END)
-    span = F.when(F.col("role") == TRAINED_ROLE, F.struct((F.col("_at") + head).alias("start"), (F.col("_at") + F.length("rendered") - len(CLOSE)).alias("end")))
+    span = F.when(F.col("role") == TRAINED_ROLE, F.struct((F.col("_at") + head).alias("start"), (F.col("_at") + F.length("rendered") - len(CLOSE)).alias("end"), F.col("escaped")))
     each = F.struct("turn", "role", "text", "_at", "rendered", span.alias("span"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("_rows"))
     chats = chats.select(
@@ -89,6 +101,6 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.array_join(F.transform("_rows", lambda r: r["rendered"]), "").alias("formatted"),
         F.array_compact(F.transform("_rows", lambda r: r["span"])).alias("loss_spans"),
     )
-    chats = chats.withColumn("turns", parse(F.col("formatted")))
+    chats = chats.withColumn("turns", parse(F.col("formatted"))).withColumn("loss_texts", masked(F.col("formatted"), F.col("loss_spans")))
     same = F.coalesce(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))) == F.col("_source"), F.lit(False))
     return chats.withColumn("turns", F.when(same, F.col("turns")).otherwise(F.raise_error(F.lit("a formatted conversation doesn't parse back to its turns")))).drop("_source")

@@ -24,9 +24,8 @@ def op3_chat_format(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     chats = chat_format.format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == chat_format.TRAINED_ROLE), lambda t: t["text"]), "")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return chats.withColumn("_loss", loss).select(
+    return chats.withColumn("_loss", F.array_join("loss_texts", "")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
