@@ -1,13 +1,15 @@
 """Main text of HTML pages by the distribution of text over lines.
 
-Markup is stripped first: a tokenizer walks the page once and writes one line per block (a block-level tag or line break
-ends a line, an inline tag doesn't), with character references decoded and white space folded. Elements that are never
-article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, known by tag,
-role, class or id) leave lines of length 0 behind, as does text outside of article or main where the page has such an
-element, and, where it has none, lines that are mostly links. The sums of the lengths over sliding windows of WINDOW
-lines then show surge points (a line with text whose window reaches the threshold) and dive points (a window without
-text); the lines between are kept. Inside article or main the threshold is one character, so short first and last
-paragraphs stay; elsewhere it is SURGE characters.
+Markup is stripped first: a tokenizer walks the page once and writes one line per block with text (a block-level tag or line
+break ends a line, an inline tag doesn't), with character references decoded and white space folded. Tags only take
+lengths away: an element that is never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments, known by tag, role, class or id) is one line of length 0; so is a line that is mostly links;
+and so is each line outside of article and main where these hold half of the page's text or more. The sums of the lengths
+over sliding windows of WINDOW lines then show the dive points (windows without text) and, between two of them, whether
+there is a surge (a window that reaches SURGE characters, or half of the page's highest window where that is less).
+From a surge's first to its last line all text is kept, so that short paragraphs stay; what doesn't surge goes.
+
+White space is what str.split takes for it: non-breaking and other Unicode spaces too.
 
 Defined results: null html or no main text gives the empty text; pages of any length are read whole; unclosed tags end
 with their parents or at the page's end; repeated rows are treated alike; other columns are carried along, those named
@@ -56,26 +58,30 @@ def _left_out(tag: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, characters outside of links, inside article or main), and whether the page has such an element.
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """Lines (text, characters outside of links, inside article or main) of a page.
 
-    Lines of elements that are left out have no text.
+    Blocks without text leave none; an element that is left out leaves one without text.
     """
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = inside = links = 0
-    has_main = False
     out_tag, out_depth = "", 0
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
-        lines.append((text, max(0, len(text) - linked), inside > 0))
+        if text:
+            lines.append((text, max(0, len(text) - linked), inside > 0))
         parts, linked = [], 0
 
     at, size = 0, len(page)
+    # no tag ends behind the last >: a search there would try every < up to the page's end
+    last = page.rfind(">") + 1
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last)
+        if m and m.end() == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # a comment that isn't closed
         text = page[at : m.start()] if m else page[at:]
         if text and not out_tag:
             parts.append(text)
@@ -110,31 +116,34 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if tag not in INLINE:
             close()
         if tag in ("article", "main"):
-            has_main = True
             inside = max(0, inside + (-1 if closing else 1))
         elif not closing and tag not in VOID and not attributes.endswith("/") and _left_out(tag, attributes):
             out_tag, out_depth = tag, 1
             lines.append(("", 0, inside > 0))
     close()
-    return lines, has_main
+    return lines
 
 
 def main_text(page: str) -> str:
-    lines, has_main = lines_of(page)
-    if has_main:
-        lengths, surge = [len(t) if inside else 0 for t, _, inside in lines], 1
+    lines = lines_of(page)
+    told = sum(len(text) for text, *_ in lines)
+    within = sum(len(text) for text, _, inside in lines if inside)
+    if within and 2 * within >= told:
+        lengths = [len(text) if inside else 0 for text, _, inside in lines]
     else:
-        lengths, surge = [len(t) if t and own >= MOST_LINKS * len(t) else 0 for t, own, _ in lines], SURGE
+        lengths = [len(text) if own >= MOST_LINKS * len(text) else 0 for text, own, _ in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    kept, rising = [], False
-    for i, (n, total) in enumerate(zip(lengths, sums, strict=True)):
-        if not rising and n and total >= surge:
-            rising = True
-        elif total == 0:
-            rising = False
-        if rising and n:
-            kept.append(lines[i][0])
-    return "\n".join(kept)
+    surge = min(SURGE, max(sums, default=0) / 2)
+    kept, since, surged = [], [], False
+    for (text, *_), n, total in zip(lines, lengths, sums, strict=True):
+        if not total:  # a dive
+            kept += since if surged else []
+            since, surged = [], False
+            continue
+        surged = surged or total >= surge
+        if n:
+            since.append(text)
+    return "\n".join(kept + (since if surged else []))
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
