@@ -4,8 +4,9 @@ A text is cut into units that no piece of the vocabulary crosses (a unit is a ru
 next space; the vocabulary is searched once for pieces that would break this). Per unit an agenda of adjacent symbol
 pairs, ordered by score and then from the left, is merged until no pair is a piece; characters that are no piece fall
 back to their bytes. Units repeat, so each worker keeps the ids of those it has met, up to a bound after which it starts
-anew; this changes time, never results. Work is done per Arrow batch, and in each batch the units that are new to the
-worker are encoded by the sentencepiece library too: a difference fails the job.
+anew; this changes time, never results. Work is done per Arrow batch, and each batch is held against the sentencepiece
+library: units that are new to the worker are encoded by it too, as is every WHOLE-th text as a whole, and all ids are
+decoded by it. A difference fails the job.
 
 Defined results: null text is the empty text, whose ids are begin and end only; texts of any length are encoded whole;
 repeated rows are encoded alike; other columns are carried along, and those named like a result are replaced.
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Units in each of a worker's two generations (about 220 bytes each).
-KEPT_UNITS = 600_000
+#: Bytes that each of a worker's two generations of units may take, with OVERHEAD a unit for its two objects and its place.
+KEPT_BYTES, OVERHEAD = 130_000_000, 200
+#: The library encodes every so many-th text of a batch as a whole.
+WHOLE = 8
 PLACES = (1 << 40) - 1
-#: Texts whose units are looked up together.
+#: Texts of a batch whose units are looked up together.
 TOGETHER = 100
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 RESULT_IDS = "ids array<int>, decoded string"
@@ -63,7 +66,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Pieces:
     """A vocabulary file, its agenda encoder and its decoder."""
 
-    def __init__(self, path: str, kept_units: int = KEPT_UNITS, check: bool = True):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES, check: bool = True):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.library.get_piece_size()
         names = [self.library.id_to_piece(i) for i in range(size)]
@@ -87,7 +90,7 @@ class Pieces:
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.kept_units, self.check = kept_units, check
+        self.kept_bytes, self.taken, self.check = kept_bytes, 0, check
 
     def merge(self, unit: str) -> list[int]:
         """The ids of one unit by the agenda."""
@@ -130,26 +133,29 @@ class Pieces:
                 if ids != theirs and u != SPACE:
                     raise ValueError(f"the agenda and the library differ on {u!r}: {ids} and {theirs}")
         for u, ids in zip(new, got, strict=True):
-            self.units[u] = np.asarray(ids, "<u4").tobytes()
+            self.keep(u, np.asarray(ids, "<u4").tobytes())
+
+    def keep(self, unit: str, ids: bytes) -> None:
+        self.units[unit] = ids
+        self.taken += 4 * len(unit) + len(ids) + OVERHEAD
 
     def meet(self, cut: list[list[str]]) -> None:
         """Brings all units of some texts into the younger generation."""
-        if len(self.units) > self.kept_units:
-            self.units, self.older = {}, self.units
+        if self.taken > self.kept_bytes:
+            self.units, self.older, self.taken = {}, self.units, 0
         missing = set().union(*cut).difference(self.units)
-        self.units.update((u, self.older[u]) for u in missing if u in self.older)
+        for u in missing:
+            if u in self.older:
+                self.keep(u, self.older[u])
         self.learn([u for u in missing if u not in self.older])
 
     def encode_batch(self, texts: list[str], begin: bool = True, end: bool = True) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         head = np.asarray([self.begin] if begin else [], "<u4").tobytes()
         tail = np.asarray([self.end] if end else [], "<u4").tobytes()
-        out = []
-        for at in range(0, len(texts), TOGETHER):
-            cut = [self.cut(text) for text in texts[at : at + TOGETHER]]
-            self.meet(cut)
-            out += [head + b"".join([self.units[u] for u in units]) + tail for units in cut]
-        return out
+        cut = [self.cut(text) for text in texts]
+        self.meet(cut)
+        return [head + b"".join([self.units[u] for u in units]) + tail for units in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """What the library's decode(ids) returns."""
@@ -171,6 +177,15 @@ class Pieces:
         return text[1:] if first not in (None, self.unknown) and (self.shown[first] or "").startswith(" ") else text
 
 
+def same_as_library(pieces: Pieces, texts: list[str], ids: list[np.ndarray], decoded: list[str], begin: bool, end: bool) -> None:
+    """Fails where the library encodes every WHOLE-th text, or decodes any ids, otherwise."""
+    theirs = pieces.library.encode(texts[::WHOLE], add_bos=begin, add_eos=end, num_threads=1)
+    if any(mine.tolist() != other for mine, other in zip(ids[::WHOLE], theirs, strict=True)):
+        raise ValueError("the agenda and the library differ on a whole text")
+    if pieces.library.decode([i.tolist() for i in ids]) != decoded:
+        raise ValueError("the decoder and the library differ")
+
+
 #: The vocabularies a worker has loaded, with the units it has met in all its tasks.
 _LOADED: dict[tuple[str, bool], Pieces] = {}
 
@@ -208,11 +223,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", begin: bool = True, e
     def batches(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = loaded(path, check)
         for texts in it:
-            rows = []
-            for data in pieces.encode_batch(texts.fillna("").tolist(), begin, end):
-                ids = np.frombuffer(data, "<u4")
-                decoded = pieces.decode(ids)
-                rows.append((len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), *((ids.astype("int32"), decoded) if with_ids else ())))
+            rows, whole = [], texts.fillna("").tolist()
+            for at in range(0, len(whole), TOGETHER):
+                some = whole[at : at + TOGETHER]
+                encoded = pieces.encode_batch(some, begin, end)
+                ids = [np.frombuffer(data, "<u4") for data in encoded]
+                decoded = [pieces.decode(i) for i in ids]
+                if check:
+                    same_as_library(pieces, some, ids, decoded, begin, end)
+                for data, i, back in zip(encoded, ids, decoded, strict=True):
+                    rows.append((len(i), hashlib.sha256(data).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), *((i.astype("int32"), back) if with_ids else ())))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
     run = F.pandas_udf(batches, schema)
