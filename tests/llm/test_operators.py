@@ -323,7 +323,7 @@ def test_chats(spark):
         own = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text, _ in rows if c == r["conv_id"]))
         assert [(t["role"], t["text"]) for t in r["turns"]] == [x[1:] for x in own]
         masked = [re.sub(r"(?s)\\(.)", r"\1", b) if e else b for b, e in ((r["formatted"][s["start"] : s["end"]], r["formatted"][: s["start"]].endswith("+[/INST]")) for s in r["loss_spans"])]
-        assert masked == [x[2] for x in own if x[1] == "assistant"]
+        assert masked == r["loss_texts"] == [x[2] for x in own if x[1] == "assistant"]
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
@@ -375,5 +375,71 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_models(spark):
+    """Scores, threshold and verdicts against models built by loops."""
+    from collections import Counter
+    from math import ceil, log
+
+    r = random.Random(21)
+    tops, langs, names = ["net", "org", "com"], ["en", "de", "fr"], ["garden", "recipes", "casino", "news", "xxxnews", "bnet"]
+    rows = [(i, f"http{'s' if i % 3 else ''}://{r.choice(['www.', 'm.', ''])}{r.choice(names)}{r.choice('abc')}.example.{r.choice(tops)}/{r.choice(langs)}/{r.randrange(200)}{r.choice(['', '/x', '?a=1'])}") for i in range(1500)]
+    rows += [(2000 + i, rows[7][1]) for i in range(300)] + [(3000, "http://" + "long" * 5000 + ".example.com/" + "p" * 20_000), (3001, None), (3002, "")]
+    got = {x["page_id"]: x for x in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), keep=0.9).collect()}
+    spelt = {i: re.sub("[0-9]+", "0", x["host"] + x["path"]) for i, x in got.items()}
+    bad = {i: x["rule"] in ("net/", "example.com/de/") or any(s in x["host"] for s in url_filter.SEEDS) for i, x in got.items()}
+    distinct = sorted({s for s in spelt.values() if s})
+    hashes = spark.createDataFrame([(s,) for s in distinct], "s string").select("s", (F.pmod(F.xxhash64("s"), F.lit(url_filter.HELD_OUT)) == 0).alias("held")).collect()
+    held = {x["s"]: x["held"] for x in hashes}
+    seen = {k: [Counter(), Counter()] for k in range(5)}
+    grams = lambda s: [("\x02" * 3 + s)[i : i + 4] for i in range(len(s))]
+    for i, s in spelt.items():
+        if s and not held[s]:
+            for g in grams(s):
+                for k in range(5):
+                    seen[k][bad[i]][g[4 - k :]] += 1
+                    if k:
+                        seen[k][bad[i]]["before", g[4 - k : -1]] += 1
+
+    def chance(g, c):
+        p = 1 / 96
+        for k in range(1, 5):
+            p = (seen[k][c][g[4 - k :]] + 4 * p) / (seen[k][c]["before", g[4 - k : -1]] + 4)
+        return p
+
+    known = {}
+    score = {}
+    for s in distinct:
+        for g in grams(s):
+            known.setdefault(g, log(chance(g, 1)) - log(chance(g, 0)))
+        score[s] = sum(known[g] for g in grams(s)) / len(s)
+    calm = sorted(score[spelt[i]] for i in spelt if spelt[i] and held[spelt[i]] and not bad[i])
+    line = max(0, ceil(calm[ceil(0.9 * len(calm)) - 1] / 1e-4) * 1e-4)
+    for i, x in got.items():
+        if not spelt[i]:
+            assert (x["score"], x["verdict"]) == (None, "allow")
+            continue
+        assert x["score"] == pytest.approx(score[spelt[i]], abs=1e-9)
+        if x["rule"] is None:
+            assert x["verdict"] == ("block" if score[spelt[i]] > line else "allow")
+    assert len({x["verdict"] for x in got.values() if x["rule"] is None}) == 2
+
+
+def test_html_without_article(spark):
+    """What the distribution of text alone decides, and pages that are hostile or hold teasers as articles."""
+    main = html_text.main_text
+    text = lambda n, seed: prose(n, seed)
+    assert main(f"<div>{text(60, 1)}</div><div>Short one.</div><div>{text(60, 2)}</div>") == f"{text(60, 1)}\nShort one.\n{text(60, 2)}"
+    menu = "".join(f"<div><a href='/{i}'>entry {i}</a></div>" for i in range(5))
+    assert main(f"{menu}<div>{text(60, 3)}</div>{menu}<div>tail</div>") == text(60, 3)
+    teasers = "".join(f"<article>{text(3, i)}</article>" for i in range(3))
+    assert text(200, 9) in main(f"<div>{text(200, 9)}</div>{teasers}")
+    ads = "<div class='ad'>Buy</div>"
+    assert main(f"<p>outside</p><article><h1>T</h1>{ads}<p>{text(80, 4)}</p>{ads}{ads}<p>End.</p></article><p>outside</p>") == f"T\n{text(80, 4)}\nEnd."
+    for hostile in ("<a x" * 250_000, "<!" * 500_000, "<!-- " * 200_000, "<p>hi " + "<a x='" * 170_000, "<script>" * 100_000):
+        assert len(main(hostile)) <= len(hostile)
+    pages = spark.createDataFrame([], "page_id long, html string")
+    assert html_text.extract(pages).count() == 0
+
+
 def test_digest_is_of_the_kept_words():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -42,7 +42,7 @@ def test_decodes_any_ids(ids):
 
 
 def test_a_full_store_changes_nothing():
-    small = sentence_pieces.Pieces(PATH, kept_units=2)
+    small = sentence_pieces.Pieces(PATH, kept_bytes=500)
     texts = ["one two three", "two four", "five six two one"] * 2
     assert small.encode_batch(texts) == PIECES.encode_batch(texts)
 
