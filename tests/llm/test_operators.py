@@ -110,14 +110,25 @@ def test_near_dedup(spark, docs):
 
 def test_large_buckets_are_exact(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 3)
-    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    # near copies of one document, and small groups that lie further from it than from each other
     texts = [edited(prose(100, 50), k % 4, k) for k in range(30)]
+    for k in range(12):
+        far = edited(prose(100, 50), 5, 700 + k)
+        texts += [far, edited(far, 1, 800 + k)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = {i: {tuple(t.split()[k : k + 4]) for k in range(97)} for i, t in enumerate(texts)}
-    expected = jaccard_components(range(30), sets, lambda i, u: 100 * i >= 80 * u)
+    expected = jaccard_components(range(54), sets, lambda i, u: 100 * i >= 80 * u)
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.groups(docs, 4, 80).collect()} == expected
 
 
+def test_repeated_ids_keep_their_own_texts(spark):
+    one, two = prose(80, 60), prose(80, 61)
+    rows = [(1, one), (1, two), (2, edited(two, 1, 5)), (3, edited(one, 1, 6)), (3, edited(one, 1, 6)), (4, None)]
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (200, 201)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
