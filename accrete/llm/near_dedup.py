@@ -3,16 +3,15 @@
 1. Per document (Arrow batches): the set of 64-bit shingle hashes, SAMPLES MinHash samples, BANDS keys of ROWS samples
    each, and an odd sketch: every sample flips one of BITS parity bits, so that the bits in which two sketches differ
    estimate how many samples differ, most precisely where nearly all agree. A document's node is the hash of its set, so
-   copies are one node from here on.
-2. Pairs that share a band key and whose sketches differ in at most MOST_DIFFERENT bits (a similarity of 0.8 lies five standard
-   deviations below) are candidates. First a spanning forest of each bucket's candidates is confirmed on the full sets (of
-   a bucket above BUCKET members: every member with its least one), and components are formed. Then all candidates of a
-   bucket that still lie in different components are confirmed. So a large group of near copies costs one pair a member
-   and band, and what isn't joined by then is compared pair by pair: in a bucket above BUCKET, the members outside of its
-   largest component in blocks of BLOCK with all others, by their sketches.
-3. The components of confirmed links are the result.
+   copies are one node.
+2. Per band key: pairs whose sketches differ in at most MOST_DIFFERENT bits (a similarity of 0.8 lies five standard
+   deviations below) are united, and a spanning forest of them is kept: at most one edge a member. A bucket of more than
+   BUCKET members isn't compared: all its members are joined to its least one, which can only add candidates.
+3. Components of these candidates; inside each the full sets are compared exactly, in pairs of blocks of bounded size,
+   each giving a spanning forest of the true links; their components are the result.
 
-A pair at 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 3e-6. Nothing is capped.
+A pair at 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 3e-6. Nothing is capped: what isn't
+compared by sketch is compared exactly.
 
 Defined results: null or blank text has an empty set, is linked with nothing and keeps itself; fewer than SHINGLE words
 are one shingle; exact copies are linked; of a repeated doc_id every row has a row of its own, by its own text; null
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accrete.llm.components import components
@@ -36,7 +35,8 @@ from accrete.session import cut
 SAMPLES, BANDS, ROWS, BITS = 256, 24, 4, 512
 BUCKET = 1000
 MOST_DIFFERENT = 141  # expected at a similarity of 0.6: 256 * (1 - exp(-2 * 2 * 256 * 0.4 / 512))
-BLOCK = 512
+#: Members and shingles of a block; a task holds two blocks.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,94 +138,88 @@ def _runs(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]
         yield rest
 
 
-def _near(group: pd.DataFrame) -> tuple[np.ndarray, Iterator[tuple[int, int]]]:
-    """The distinct nodes of a group, and places of the pairs whose sketches are near and whose roots differ."""
-    nodes, first = np.unique(group["node"].values, return_index=True)
-    roots = group["root"].values[first]
-    sketches = np.frombuffer(b"".join(group["sketch"].values[first]), np.uint64).reshape(len(nodes), -1)
-    far = lambda i: np.bitwise_count(sketches[i + 1 :] ^ sketches[i]).sum(axis=1)
-    return nodes, ((i, i + 1 + int(j)) for i in range(len(nodes) - 1) for j in np.flatnonzero((far(i) <= MOST_DIFFERENT) & (roots[i + 1 :] != roots[i])))
-
-
-def near_pairs(rows: DataFrame, keys: list[str], forest: bool) -> DataFrame:
-    """Pairs a, b of different roots with near sketches in a group of equal keys: all, or a spanning forest of them."""
+def candidate_edges(table: DataFrame) -> DataFrame:
+    """Edges a, b between nodes that may be similar. table: from `described`."""
+    rows = table.where("node is not null").select("node", "sketch", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    large = sizes.where(F.col("n") > BUCKET)
+    stars = rows.join(large, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple[int, int]] = []
-        for group in _runs(it, keys):
-            nodes, pairs = _near(group)
-            for a, b in _forest(len(nodes), pairs) if forest else pairs:
-                found.append((int(nodes[a]), int(nodes[b])))
-                if len(found) >= 20_000:
-                    yield pd.DataFrame(found, columns=["a", "b"])
-                    found = []
+        for group in _runs(it, ["key"]):
+            nodes, first = np.unique(group["node"].values, return_index=True)
+            if len(nodes) < 2:
+                continue
+            sketches = np.frombuffer(b"".join(group["sketch"].values[first]), np.uint64).reshape(len(nodes), -1)
+            near = ((i, i + 1 + int(j)) for i in range(len(nodes) - 1) for j in np.flatnonzero(np.bitwise_count(sketches[i + 1 :] ^ sketches[i]).sum(axis=1) <= MOST_DIFFERENT))
+            found += [(int(nodes[a]), int(nodes[b])) for a, b in _forest(len(nodes), near)]
+            if len(found) > 20_000:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
         yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a long, b long").distinct()
-
-
-def buckets(nodes: DataFrame) -> DataFrame:
-    """key, n (members), least (of them), node and sketch of each member of a band bucket with two members or more."""
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "key")
-    return cut(shared.join(nodes.select("node", "sketch"), "node"))
-
+    small = rows.join(large.select("key"), "key", "left_anti")
+    compared = small.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
+    return stars.union(compared.distinct())
 
-def first_pairs(shared: DataFrame) -> DataFrame:
-    """A spanning forest of the near pairs of each bucket; of a large one, each member with the least."""
-    small = near_pairs(shared.where(F.col("n") <= BUCKET).withColumn("root", F.col("node")), ["key"], True)
-    return small.union(shared.where((F.col("n") > BUCKET) & (F.col("node") > F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
 
+def true_edges(docs: DataFrame, table: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges a, b between nodes whose full sets are similar: a spanning forest per pair of blocks of each cluster."""
+    nodes = table.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "whole", "n_shingles")).alias("_d")).select("node", "_d.*")
+    members = nodes.join(clusters, "node")
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "root").select("doc_id", "whole", "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    sets = docs.select("doc_id", "text").join(placed, "doc_id")
+    hashed = sets.select("node", "root", "blocks", "block", "whole", F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w)).alias("hashes"))
+    # only the text that the node was made of, where a doc_id has several
+    hashed = hashed.select("node", "root", "blocks", "block", F.when(F.xxhash64("hashes") == F.col("whole"), F.col("hashes")).alias("hashes")).where("hashes is not null")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = hashed.select("node", "root", "block", "hashes", other.alias("other")).select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "hashes")
 
-def other_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The near pairs of each bucket whose members lie in different components."""
-    placed = shared.join(roots.withColumnsRenamed({"node": "_node", "root": "_root"}), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
-    counts = placed.groupBy("key", "root").agg(F.count("*").alias("_c"))
-    main = counts.groupBy("key").agg(F.count("*").alias("_roots"), F.max_by("root", F.struct("_c", "root")).alias("_main"), F.max("_c").alias("_most")).where("_roots > 1")
-    still = cut(placed.join(main, "key"))
-    small = near_pairs(still.where(F.col("n") <= BUCKET), ["key"], False)
-    # of a large bucket, each block i of members outside of the main component meets each block j of the main one and of the others
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    large = still.where(F.col("n") > BUCKET).withColumn("_minor", F.col("root") != F.col("_main")).withColumns({"_others": blocks(F.col("n") - F.col("_most")), "_mains": blocks(F.col("_most"))})
-    large = large.withColumn("_block", F.pmod(F.xxhash64("node"), F.when(F.col("_minor"), F.col("_others")).otherwise(F.col("_mains"))).cast("int"))
-    meet = lambda i, kind, j: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"))
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    of_minor = F.concat(F.transform(every(F.col("_mains")), lambda j: meet(F.col("_block"), 0, j)), F.transform(every(F.col("_others")), lambda j: meet(F.least("_block", j), 1, F.greatest("_block", j))))
-    of_main = F.transform(every(F.col("_others")), lambda i: meet(i, 0, F.col("_block")))
-    dealt = large.select("key", "node", "root", "sketch", F.explode(F.when(F.col("_minor"), of_minor).otherwise(of_main)).alias("_g")).select("key", "node", "root", "sketch", "_g.*")
-    return small.union(near_pairs(dealt, ["key", "i", "kind", "j"], False)).distinct()
-
-
-def shingle_hashes(hashes: Column, size: int) -> Column:
-    """The distinct hashes of the runs of `size` words in an array of word hashes; a shorter one is one run."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(hashes) - size + 1, F.lit(1)))
-    # the outer array makes the word hashes once for all runs
-    return F.array_distinct(F.get(F.transform(F.array(hashes), lambda h: F.transform(at, lambda i: F.xxhash64(F.slice(h, i, size)))), F.lit(0)))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs a, b of nodes whose full sets are similar."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id", "whole"), "node")
-    hashed = docs.select("doc_id", F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w)).alias("_hashes"))
-    hashed = hashed.join(wanted, "doc_id").where(F.xxhash64("_hashes") == F.col("whole"))
-    sets = cut(hashed.select("node", shingle_hashes(F.col("_hashes"), size).alias("set")).dropDuplicates(["node"]))
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "set": "_b"}), "b")
-    both = both.withColumn("_common", F.size(F.array_intersect("_a", "_b")))
-    return both.where(100 * F.col("_common") >= percent * (F.size("_a") + F.size("_b") - F.col("_common"))).select("a", "b")
+    def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _runs(it, ["root", "i", "j"]):
+            nodes, first = np.unique(group["node"].values, return_index=True)
+            sets = [shingle_set(h, size) for h in group["hashes"].values[first]]
+            found = [(int(nodes[a]), int(nodes[b])) for a, b in _forest(len(nodes), _similar(sets, percent))]
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    keys = ["root", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a long, b long")
+
+
+def _similar(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """All pairs with 100 * intersection >= percent * union, by products of 0-1 matrices over the shared shingles."""
+    n, sizes = len(sets), np.asarray([len(s) for s in sets], "int64")
+    every = np.concatenate(sets)
+    values, where = np.unique(every, return_inverse=True)
+    shared = np.bincount(where) > 1
+    place = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(n), sizes)
+    keep = shared[where]
+    owner, column = owner[keep], place[where[keep]]
+    both = np.zeros((n, n), "float32")
+    width = max(1, 16_000_000 // n)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        matrix = np.zeros((n, min(width, int(shared.sum()) - at)), "float32")
+        matrix[owner[lo:hi], column[lo:hi] - at] = 1
+        both += matrix @ matrix.T
+    both = both.astype("int64")
+    for i in range(n - 1):
+        inter = both[i, i + 1 :]
+        for j in np.flatnonzero(100 * inter >= percent * (sizes[i] + sizes[i + 1 :] - inter)):
+            yield i, i + 1 + int(j)
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id of its component) of each document."""
     table = cut(described(docs, size))
-    nodes = cut(table.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "whole")).alias("_d"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select("node", "_d.*", "keys", "sketch"))
-    shared = buckets(nodes)
-    pairs = cut(first_pairs(shared))
-    edges = cut(confirmed(pairs, docs, nodes, size, percent))
-    linked = components(edges)
-    more = cut(other_pairs(shared, linked).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        linked = components(edges.union(confirmed(more, docs, nodes, size, percent)))
-    nodes = nodes.select("node", F.col("doc_id").alias("_first"))
+    clusters = components(candidate_edges(table))
+    linked = components(true_edges(docs, table, clusters, size, percent))
+    nodes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_first"))
     rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = rooted.join(firsts, "root").select("node", "component_id")
