@@ -128,3 +128,42 @@ def roc_auc(rows: DataFrame, by: list[str], truth: str = "y", score: str = "scor
     at = at.withColumn("tp", F.sum("pos").over(down)).withColumn("_p", F.sum("pos").over(part)).withColumn("_n", F.sum("neg").over(part))
     area = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0) / (F.col("_p") * F.col("_n"))
     return at.withColumn("_a", F.when((F.col("_p") > 0) & (F.col("_n") > 0), area).otherwise(0.0)).groupBy(*by).agg(F.sum("_a").alias("auc"))
+
+
+#: Metrics of rows with y and p, by lower-case name.
+METRICS = {
+    "accuracy": lambda: F.avg((F.col("y") == F.col("p")).cast("double")),
+    "correct": lambda: F.sum((F.col("y") == F.col("p")).cast("long")),
+    "seen": lambda: F.count("*"),
+    "mean_error": lambda: F.avg(F.abs(F.col("y") - F.col("p")).cast("double")),
+}
+
+
+def evaluate(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """All metrics of each group in one aggregation; names are found in any case, each once."""
+    names = [m.lower() for m in metrics]
+    if len(set(names)) < len(names):
+        raise ValueError("a metric is named twice")
+    if missing := [m for m in names if m not in METRICS]:
+        raise ValueError(f"unknown metrics: {', '.join(missing)}")
+    return rows.groupBy(*by).agg(*[METRICS[m]().alias(m) for m in names])
+
+
+def static_intervals(spark, bounds: list[tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame(bounds, "start long, end long").withColumn("active_before", F.col("start"))
+
+
+def requests_after_training(intervals: DataFrame, model: int, trained_until: int) -> DataFrame:
+    """What a model is evaluated on right after its training: every interval, with active where it's trained before it."""
+    return intervals.select("start", "end", F.lit(model).cast("long").alias("id_model"), (F.lit(trained_until) < F.col("active_before")).alias("active"))
+
+
+def request_groups(requests: DataFrame, by: list[str]) -> DataFrame:
+    """One row a dataset and model with its intervals in order, as one scan serves them all."""
+    return requests.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("intervals"))
+
+
+def results_frame(results: DataFrame) -> DataFrame:
+    """A row a model, interval and metric of nested results (id_model, intervals of start, end and metrics by name)."""
+    each = results.select("id_model", F.explode("intervals").alias("i")).select("id_model", "i.start", "i.end", F.explode("i.metrics").alias("metric", "value"))
+    return each.withColumns({"length": F.col("end") - F.col("start"), "center": (F.col("start") + F.col("end")) / 2})

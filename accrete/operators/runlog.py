@@ -102,3 +102,36 @@ def rle(rows: DataFrame, order: str, value: str) -> DataFrame:
     last = rows.agg(F.max(order)).first()[0]
     ends = F.coalesce(F.lead(order).over(w), F.lit(-1 if last is None else last + 1))
     return starts.select((F.row_number().over(w) - 1).cast("long").alias("run"), F.col(value), (ends - F.col(order)).alias("n"))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join that fails where a key of either side occurs twice or lacks a partner."""
+    n, m = left.groupBy(on).count(), right.groupBy(on).count()
+    bad = n.join(m.withColumnRenamed("count", "_m"), on, "full").where("count is null or _m is null or count <> 1 or _m <> 1")
+    if not bad.isEmpty():
+        raise ValueError(f"{on} isn't one to one")
+    return left.join(right, on)
+
+
+def with_stage_mean(log: DataFrame, stage: str, value: str) -> DataFrame:
+    """log with the mean of its stage."""
+    return log.join(log.groupBy(stage).agg(F.avg(value).alias("mean")), stage)
+
+
+def cost_by_stage(log: DataFrame, stage: str, value: str) -> DataFrame:
+    """Cost of each stage with its place, dearest first."""
+    got = log.groupBy(stage).agg(F.sum(value).alias("cost"))
+    return got.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("cost"), stage)))  # one row a stage
+
+
+def with_parents(stages: DataFrame, by: str, parent: str, value: str) -> DataFrame:
+    """Sum of each stage, and its parent's beside it (null at the top)."""
+    got = stages.groupBy(by, parent).agg(F.sum(value).alias("sum"))
+    above = got.groupBy(by).agg(F.sum("sum").alias("parent_sum")).withColumnRenamed(by, parent)
+    return got.join(above, parent, "left")
+
+
+def invalid_runs(runs: DataFrame, stages: DataFrame, run: str, least: int) -> DataFrame:
+    """Runs with fewer than `least` stages, and how many they have."""
+    counts = stages.groupBy(run).agg(F.count("*").alias("n"))
+    return runs.select(run).join(counts, run, "left").fillna(0, ["n"]).where(F.col("n") < least)

@@ -101,3 +101,37 @@ def scheduled(thresholds: list[int], trigger: int) -> int:
     if any(b <= a for a, b in zip(thresholds, thresholds[1:], strict=False)):
         raise ValueError("thresholds must increase")
     return sum(trigger >= t for t in thresholds)
+
+
+def freshness_first(state: DataFrame, limit: int | None, seed: int = 42) -> DataFrame:
+    """The first freshness trigger: nothing is used yet, so all keys up to the limit."""
+    return state if limit is None else sample_n(state, limit, seed)
+
+
+def mark_used(used: DataFrame, selected: DataFrame, trigger: int) -> DataFrame:
+    """used (key, last_used_in_trigger) with the keys of this trigger's selection."""
+    now = selected.select("key").distinct().withColumn("last_used_in_trigger", F.lit(trigger))
+    return used.unionByName(now).groupBy("key").agg(F.max("last_used_in_trigger").alias("last_used_in_trigger"))
+
+
+def coreset(state: DataFrame, trigger: int, warmup: int, presample, seed: int = 42) -> DataFrame:
+    """All of this trigger's keys for the first `warmup` triggers, and what `presample` takes of them from then on."""
+    rows = state.where(F.col("trigger_id") == trigger)
+    return rows if trigger + 1 <= warmup else presample(rows)
+
+
+def run_trigger(state: DataFrame, path: str, trigger: int, choose, size: int) -> int:
+    """Chooses this trigger's set, writes it in partitions of `size` keys, and gives the next trigger's number."""
+    from accrete.sources.files import write_training_set
+
+    chosen = choose(state).select("key", "timestamp").withColumn("trigger_id", F.lit(trigger))
+    write_training_set(partition_ids(chosen, size).select("key", "trigger_id", "partition_id"), path)
+    return trigger + 1
+
+
+def interleaved(used: DataFrame, unused: DataFrame, size: int) -> DataFrame:
+    """Chunks of `size` keys of both in turn, used ones first: key, used, chunk and place of the chunk."""
+    w = Window.partitionBy(F.lit(0)).orderBy("key")
+    part = lambda df, flag: df.select("key", F.lit(bool(flag)).alias("used"), F.floor((F.row_number().over(w) - 1) / size).alias("chunk"))  # noqa: E731  both are samples of a limit
+    both = part(used, True).unionAll(part(unused, False))
+    return both.withColumn("place", F.col("chunk") * 2 + F.when(F.col("used"), 0).otherwise(1))

@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from accrete.plans import analysis, choosing, evaluating, more, preparing, scanning, scores, triggering  # noqa: E402, F401
+from accrete.plans import analysis, choosing, evaluating, more, preparing, running, scanning, scores, storing, triggering  # noqa: E402, F401

@@ -53,16 +53,18 @@ def rolling(spark, sf_dir):
 
 @query(
     "t17_avoidable_misclassifications",
-    CHUNKS + """, m AS (SELECT chunk, CAST(sum(CASE WHEN label <> key % 5 THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM c GROUP BY 1),
-    r AS (SELECT chunk, greatest(0.0::DOUBLE, wrong - 75.0::DOUBLE) AS new FROM m)
-    SELECT chunk, round(new, 6) AS new FROM r""",
+    "WITH RECURSIVE " + CHUNKS.strip()[5:] + """, m AS (SELECT chunk, CAST(sum(CASE WHEN label <> key % 5 THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM c GROUP BY 1),
+    r AS (SELECT chunk, greatest(0.0::DOUBLE, wrong - 75.0::DOUBLE) AS new FROM m),
+    f AS (SELECT chunk, new, new AS total, new >= 20 AS fired FROM r WHERE chunk = 0
+          UNION ALL SELECT r.chunk, r.new, CASE WHEN fired THEN 0 ELSE total END + r.new, CASE WHEN fired THEN 0 ELSE total END + r.new >= 20 FROM f JOIN r ON r.chunk = f.chunk + 1)
+    SELECT chunk, round(new, 6) AS new, round(total, 6) AS total, fired FROM f""",
 )
 def avoidable(spark, sf_dir):
     """The chunks' counts are few; the fold over them is sequential by its reset at each firing."""
     by = chunked(spark, sf_dir).groupBy("chunk").agg(F.sum((F.col("label") != F.col("key") % 5).cast("long")).alias("wrong"), F.count("*").alias("n"))
     rows = [(r["chunk"], r["wrong"], r["n"]) for r in by.orderBy("chunk").collect()]
     folded = triggers.avoidable_misclassifications(rows, 0.25, 20)
-    return spark.createDataFrame([(c, round(float(new), 6)) for c, new, _, _ in folded], "chunk long, new double")
+    return spark.createDataFrame([(c, round(float(new), 6), round(float(total), 6), fired) for c, new, total, fired in folded], "chunk long, new double, total double, fired boolean")
 
 
 @query("t19_data_density", CHUNKS + ", d AS (SELECT chunk, count(*) AS n, max(timestamp) AS e, min(timestamp) AS b FROM c GROUP BY 1) SELECT chunk, n, round(n / greatest(e - coalesce(lag(e) OVER (ORDER BY chunk), b), 1)::DOUBLE, 9) AS per_second FROM d")

@@ -73,3 +73,51 @@ def read_training_set(spark: SparkSession, path: str, trigger: int, partition: i
     """Pruned to the folders of the trigger and partition."""
     got = spark.read.parquet(path).where(F.col("trigger_id") == trigger)
     return got if partition is None else got.where(F.col("partition_id") == partition)
+
+
+def pick(samples: DataFrame, indices: list[int]) -> DataFrame:
+    """The samples at these places of their files; each index once."""
+    return samples.where(F.col("sample_index").isin(sorted(set(indices))))
+
+
+def without(samples: DataFrame, indices: list[int]) -> DataFrame:
+    """What is left when these places are deleted, with the places that the rows have then."""
+    deleted = sorted(set(indices))
+    before = F.size(F.filter(F.array(*[F.lit(i) for i in deleted]).cast("array<bigint>"), lambda i: i < F.col("sample_index")))
+    return samples.where(~F.col("sample_index").isin(deleted)).withColumn("sample_index", F.col("sample_index") - before)
+
+
+def drop_empty_files(files: DataFrame, samples: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files and samples (file_id, key) without the samples of keys; a file goes only when all its samples go."""
+    left = samples.join(keys.select("key").distinct(), "key", "left_anti")
+    return files.join(left.select("file_id").distinct(), "file_id", "left_semi"), left
+
+
+def write_rows(rows: DataFrame, path: str, label: str, separator: str = ",") -> None:
+    """A CSV file with the label in its first column, in the order of the rows' place column `at`."""
+    others = [c for c in rows.columns if c not in (label, "at")]
+    rows.orderBy("at").select(label, *others).coalesce(1).write.csv(path, sep=separator)
+
+
+def write_periods(rows: DataFrame, path: str, period: str) -> None:
+    """Tab-separated files, one folder a period; the period is a column of its own and not the files' time."""
+    rows.write.partitionBy(period).mode("append").csv(path, sep="\t")
+
+
+def append_state(rows: DataFrame, path: str) -> None:
+    """Samples of a pipeline as they come in: one folder a pipeline and trigger."""
+    rows.write.partitionBy("pipeline_id", "trigger_id").mode("append").parquet(path)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Stage rows as JSON lines, beside those written before."""
+    rows.write.mode("append").json(path)
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def append_losses(rows: DataFrame, path: str) -> None:
+    """Per-sample losses of a training; samples without one are left out."""
+    rows.where("loss is not null").write.mode("append").parquet(path)
