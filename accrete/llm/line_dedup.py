@@ -12,10 +12,12 @@ doc_id and then by place, and the others go.
    hashes of the line are one key: the ROWS least under the order that starts there. Two sets of similarity s agree in a
    band with a probability of about s ** ROWS: a pair at 0.8 is missed with 0.002, at 0.9 with 1e-5.
 2. Lines that share a key are candidates. A bucket of up to BUCKET lines compares all its pairs; in a larger one every line
-   is compared with the bucket's leader first. Where a large bucket still holds several components, its lines are banded
+   is compared with the bucket's leader first. Where a line of a large bucket isn't alike to its leader, the bucket's lines are banded
    once more by all their shingles with FINE_ROWS hashes a key and FINE_BANDS keys (a pair at 0.8 is missed with 0.001), which tells
-   lines of one template apart. Large buckets of these keys compare each line with their leader, and what still differs
-   in components is compared pair by pair, in blocks of at most BLOCK lines: nothing is capped.
+   lines of one template apart. Of these buckets too, small ones compare all pairs and large ones each line with the leader; every
+   bucket has a leader of its own, so that a line of a large group meets up to FINE_BANDS of them. All pairs of large
+   buckets aren't compared, as their number grows with the square of a group: a link is missed where two lines share
+   large buckets only and no chain of leaders joins them.
 3. The full shingle sets of candidates decide, and components are found by star contraction. The places of candidates are
    broadcast to where lines are split if they are MOST_SENT or fewer (counted first), and joined otherwise.
 
@@ -46,7 +48,7 @@ FEW = 16
 #: of each pair only one of both signatures is made.
 SAMPLED, SPARSE = (16, 24), (12, 16)
 MOST_SENT = 300_000
-BUCKET, BLOCK = 8, 1024
+BUCKET = 8
 
 
 def shingles(line: Column) -> Column:
@@ -96,9 +98,12 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
-    """key, id, members and leader of each bucket with two lines or more. keyed: id and keys, one row an id."""
+    """key, id, members and leader of each bucket with two lines or more. keyed: id and keys, one row an id.
+
+    Each bucket has a leader of its own choice, so that a line of a large group meets many.
+    """
     rows = keyed.select("id", F.explode_outer("keys").alias("key")).repartition("key")
-    return cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1"), "key"))
+    return cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("members"), F.min_by("id", F.xxhash64("id", "key")).alias("leader")).where("members > 1"), "key"))
 
 
 def candidates(shared: DataFrame) -> DataFrame:
@@ -122,21 +127,12 @@ def alike(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def unsettled(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """The rows of large buckets in which a line isn't joined to the leader by an edge."""
+    """The rows of large buckets in which some line isn't joined to the leader by an edge."""
     large = shared.where(F.col("members") > BUCKET)
     far = large.where(F.col("id") != F.col("leader")).select("key", *_ordered("id", "leader")).join(edges, ["a", "b"], "left_anti")
     return cut(large.join(far.select("key").distinct(), "key", "left_semi"))
 
 
-def across(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs a < b of a bucket whose roots differ: a line meets the others in blocks of at most BLOCK."""
-    rows = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    left = rows.select("key", F.col("id").alias("x"), F.col("root").alias("_x"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    right = rows.select("key", F.col("id").alias("y"), F.col("root").alias("_y"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    return left.join(right, ["key", "block"]).where("x < y and _x <> _y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-
-
 def links(known: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     """Edges a, b that join the ids of alike lines. known: id, first (doc and at) and keys; lines: from `_lines`."""
     shared = buckets(known)
@@ -151,10 +147,7 @@ def links(known: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     again = texts.join(open_rows.select("id").distinct(), "id")
     fine = buckets(with_keys(again.withColumn("set", shingles(F.col("line"))), "keys", FINE_BANDS, FINE_ROWS).select("id", "keys"))
     apart = candidates(fine).join(pairs, ["a", "b"], "left_anti")
-    edges = cut(edges.union(alike(apart, texts, similar)))
-    if fine.where(F.col("members") > BUCKET).isEmpty() or (left := unsettled(fine, edges)).isEmpty():
-        return edges
-    return cut(edges.union(alike(across(left, components(edges)), texts, similar)))
+    return cut(edges.union(alike(apart, texts, similar)))
 
 
 def repeated_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
