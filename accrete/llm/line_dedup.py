@@ -15,14 +15,15 @@ doc_id and then by place, and the others go.
    is compared with the bucket's leader first. Where a line of a large bucket isn't alike to its leader, the bucket's lines are banded
    once more by all their shingles with FINE_ROWS hashes a key and FINE_BANDS keys (a pair at 0.8 is missed with 0.001), which tells
    lines of one template apart. Of these buckets too, small ones compare all pairs and large ones each line with the leader; every
-   bucket has a leader of its own, so that a line of a large group meets up to FINE_BANDS of them. All pairs of large
-   buckets aren't compared, as their number grows with the square of a group: a link is missed where two lines share
-   large buckets only and no chain of leaders joins them.
+   bucket has a leader of its own, so that a line of a large group meets up to FINE_BANDS of them. What then isn't of one
+   component with the leader of its large bucket is compared with all the bucket's lines of other components, in pairs of blocks of about
+   BLOCK lines, by parity bitmaps of the sets: these differ in no more bits than the sets do in shingles, so that no
+   pair at `similar` is lost and only pairs near it are told. That is n lines times those outside of the leader's component, for each bucket.
 3. The full shingle sets of candidates decide, and components are found by star contraction. The places of candidates are
    broadcast to where lines are split if they are MOST_SENT or fewer (counted first), and joined otherwise.
 
 Everything is a DataFrame expression. Groups of equal lines are aggregated before any shuffle; no bucket is gathered
-beyond BUCKET ids.
+beyond BUCKET ids, or a block of it.
 
 Defined results: null text has no lines and stays null; blank lines stay; text without lines to remove is unchanged, to
 the byte; repeated doc_ids are told apart by their text's hash only, equal rows are one document; null doc_ids come first;
@@ -32,11 +33,14 @@ named n_lines or n_removed are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accrete.llm.components import components
-from accrete.llm.text import SPACE
+from accrete.llm.text import SPACE, upto
 from accrete.session import cut
 
 SHINGLE, SIMILAR = 9, 0.8
@@ -49,6 +53,8 @@ FEW = 16
 SAMPLED, SPARSE = (16, 24), (12, 16)
 MOST_SENT = 300_000
 BUCKET = 8
+#: Lines a block, and longs a parity bitmap.
+BLOCK, LONGS = 128, 16
 
 
 def shingles(line: Column) -> Column:
@@ -133,6 +139,52 @@ def unsettled(shared: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(large.join(far.select("key").distinct(), "key", "left_semi"))
 
 
+def bitmap(hashes: Column) -> list[Column]:
+    """Longs whose bits are the parities of how many hashes fall on each."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    return [F.aggregate(F.filter(hashes, lambda h: h.bitwiseAND(64 * (LONGS - 1)) == 64 * k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))) for k in range(LONGS)]
+
+
+def may(x: Column, y: Column, similar: float) -> Column:
+    """Whether the bitmaps allow that the sets are similar; x and y: structs with n and bits."""
+    # similar sets differ in (1 - similar) / (1 + similar) of their sizes' sum at most; the small number is for rounding
+    apart = reduce(add, [F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(LONGS)])
+    return apart * (1 + similar) <= (x["n"] + y["n"]) * (1 - similar) + 1e-6
+
+
+def near_bitmaps(pairs: DataFrame, drawn: DataFrame, similar: float) -> DataFrame:
+    """Those pairs a, b whose bitmaps allow the similarity. drawn: id, n and bits."""
+    side = lambda x: drawn.select(F.col("id").alias(x), F.struct("n", "bits").alias(f"_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may(F.col("_a"), F.col("_b"), similar)).select("a", "b")
+
+
+def blocks(shared: DataFrame, drawn: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, home, block, lines and the bucket's numbers of blocks, of large buckets that hold several components.
+
+    home: the lines are of the leader's component. drawn: id, n and bits; roots: from `components`.
+    """
+    large = shared.where(F.col("members") > BUCKET).select("key", "id", "leader")
+    placed = large.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(roots.select(F.col("node").alias("leader"), F.col("root").alias("led")), "leader", "left")
+    root = F.coalesce("root", "id")
+    placed = cut(placed.select("key", "id", root.alias("root"), (root == F.coalesce("led", "leader")).alias("home")))
+    many = lambda of: F.ceil(F.count_if(of) / BLOCK).cast("int")
+    counts = placed.groupBy("key").agg(many(F.col("home")).alias("homes"), many(~F.col("home")).alias("others")).where("others > 0")
+    dealt = placed.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("others"))).cast("int"))
+    line = F.struct("id", "root", "n", "bits")
+    return cut(dealt.join(drawn, "id").groupBy("key", "home", "block", "homes", "others").agg(F.collect_list(line).alias("lines")))
+
+
+def across(parts: DataFrame, similar: float) -> DataFrame:
+    """Pairs a < b of one bucket and several components whose bitmaps allow the similarity. parts: from `blocks`."""
+    meets = lambda home, first, n: F.transform(upto(n - first), lambda k: F.struct(F.lit(home).alias("home"), (k + first).alias("block")))
+    targets = F.explode(F.concat(meets(False, F.col("block"), F.col("others")), meets(True, F.lit(0), F.col("homes"))))
+    ours = parts.where("not home").select("key", F.col("lines").alias("_ours"), targets.alias("_to")).select("key", "_ours", "_to.home", "_to.block")
+
+    pair = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
+    found = F.flatten(F.transform("_ours", lambda x: F.transform(F.filter("lines", lambda y: (x["root"] != y["root"]) & may(x, y, similar)), lambda y: pair(x, y))))
+    return ours.join(parts.select("key", "home", "block", "lines"), ["key", "home", "block"]).select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
+
+
 def links(known: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     """Edges a, b that join the ids of alike lines. known: id, first (doc and at) and keys; lines: from `_lines`."""
     shared = buckets(known)
@@ -144,10 +196,20 @@ def links(known: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     edges = cut(alike(pairs, texts, similar))
     if shared.where(F.col("members") > BUCKET).isEmpty() or (open_rows := unsettled(shared, edges)).isEmpty():
         return edges
-    again = texts.join(open_rows.select("id").distinct(), "id")
-    fine = buckets(with_keys(again.withColumn("set", shingles(F.col("line"))), "keys", FINE_BANDS, FINE_ROWS).select("id", "keys"))
-    apart = candidates(fine).join(pairs, ["a", "b"], "left_anti")
-    return cut(edges.union(alike(apart, texts, similar)))
+    again = texts.join(open_rows.select("id").distinct(), "id").withColumn("set", shingles(F.col("line")))
+    drawn = again.withColumn("n", F.size("set")).withColumn("bits", F.array(*bitmap(F.col("set"))))
+    drawn = cut(with_keys(drawn, "keys", FINE_BANDS, FINE_ROWS).drop("line"))
+    fine = buckets(drawn.select("id", "keys"))
+    apart = cut(candidates(fine).join(pairs, ["a", "b"], "left_anti"))
+    drawn = drawn.select("id", "n", "bits")
+    edges = cut(edges.union(alike(near_bitmaps(apart, drawn, similar), texts, similar)))
+    if fine.where(F.col("members") > BUCKET).isEmpty():
+        return edges
+    parts = blocks(fine, drawn, components(edges))
+    if parts.isEmpty():
+        return edges
+    last = cut(across(parts, similar).join(pairs.union(apart), ["a", "b"], "left_anti"))
+    return cut(edges.union(alike(last, texts, similar)))
 
 
 def repeated_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

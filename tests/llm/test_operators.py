@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,15 +217,23 @@ def test_line_dedup_without_spaces(spark):
     assert {x["line"]: x["n"] for x in known} == {texts[i]: len(s) for i, s in sets.items()}
 
 
-def removed_lines(spark, lines):
-    """The lines that go, by the operator and by brute force over full character shingles; each line is a document."""
+def removed_lines(spark, lines, dense=False):
+    """The lines that go, by the operator and by brute force over full character shingles; each line is a document. dense: most lines share shingles."""
     sets = {i: {x[k : k + 9] for k in range(max(1, len(x) - 8))} for i, x in enumerate(lines)}
-    holds, pairs = {}, {}
-    for i, s in sets.items():
-        for g in s:
-            for j in holds.setdefault(g, []):
-                pairs[j, i] = pairs.get((j, i), 0) + 1
-            holds[g].append(i)
+    if dense:
+        column = {g: k for k, g in enumerate(sorted(set().union(*sets.values())))}
+        has = np.zeros((len(sets), len(column)), np.float32)
+        for i, s in sets.items():
+            has[i, [column[g] for g in s]] = 1
+        common = has @ has.T
+        pairs = {(j, i): common[j, i] for i in sets for j in range(i)}
+    else:
+        holds, pairs = {}, {}
+        for i, s in sets.items():
+            for g in s:
+                for j in holds.setdefault(g, []):
+                    pairs[j, i] = pairs.get((j, i), 0) + 1
+                holds[g].append(i)
     root = {i: i for i in sets}
 
     def find(x):
@@ -240,26 +249,46 @@ def removed_lines(spark, lines):
     return {r["doc_id"] for r in got}, {i for i in sets if find(i) != i}
 
 
-@pytest.mark.parametrize("near", [1, 4])
-def test_template_lines(spark, near):
-    """Lines of one template in which 20 slots have variants: large buckets hold many small groups of alike lines."""
+def template_lines(near, count):
+    """Lines of 60 words that share 40, with 3 variants in each of the other 20 places, near lines of each choice."""
     r = random.Random(7 + near)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11))
     template, lines = [word() for _ in range(60)], []
     slots = r.sample(range(60), 20)
     variants = {s: [word() for _ in range(3)] for s in slots}
-    for _ in range(200 if near == 1 else 75):
+    for _ in range(count):
         mine = {s: r.choice(variants[s]) for s in slots}
         for k in range(near):
             if k:
                 mine[r.choice(slots)] = word()
             lines.append(" ".join(mine.get(i, w) for i, w in enumerate(template)))
     r.shuffle(lines)
-    got, expected = removed_lines(spark, lines)
+    return lines
+
+
+@pytest.mark.parametrize("near", [1, 4])
+def test_template_lines(spark, near):
+    """Large buckets hold many small groups of alike lines."""
+    got, expected = removed_lines(spark, template_lines(near, 200 if near == 1 else 75))
     assert got == expected
     assert len(expected) >= (1 if near == 1 else 150)
 
 
+@pytest.mark.parametrize("near, count, least", [(1, 1500, 20), (4, 375, 1000)])
+def test_many_template_lines(spark, near, count, least):
+    """1,500 lines of one template: buckets that stay large after the finer bands are compared in blocks, and no link is lost."""
+    got, expected = removed_lines(spark, template_lines(near, count), dense=True)
+    assert got == expected
+    assert len(expected) >= least
+
+
+def test_blocks_of_small_size(spark, monkeypatch):
+    """Many blocks a bucket give what one block gives."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+    got, expected = removed_lines(spark, template_lines(1, 300), dense=True)
+    assert got == expected
+
+
 def test_line_recall(spark):
     """Lines of 4 to 90 words with edits spread out, about 0.8 to 0.95 alike: nearly all are found, and no others."""
     r, lines = random.Random(11), []
