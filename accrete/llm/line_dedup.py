@@ -109,7 +109,9 @@ def buckets(keyed: DataFrame) -> DataFrame:
     Each bucket has a leader of its own choice, so that a line of a large group meets many.
     """
     rows = keyed.select("id", F.explode_outer("keys").alias("key")).repartition("key")
-    return cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("members"), F.min_by("id", F.xxhash64("id", "key")).alias("leader")).where("members > 1"), "key"))
+    several = rows.groupBy("key").agg(F.count("*").alias("members"), F.min_by("id", F.xxhash64("id", "key")).alias("leader")).where("members > 1")
+    # most keys have one line: a hash table of the others spares sorting all rows
+    return cut(rows.join(several.hint("shuffle_hash"), "key"))
 
 
 def candidates(shared: DataFrame) -> DataFrame:
