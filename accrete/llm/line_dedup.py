@@ -60,8 +60,8 @@ BLOCK, LONGS = 128, 16
 def shingles(line: Column) -> Column:
     """Distinct hashes of a line's shingles."""
     # of four bytes a character, so that each is found at once; the outer array makes the bytes once for all shingles
-    at = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
-    runs = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * SHINGLE)))))
+    at = F.sequence(F.lit(1), F.greatest(4 * (F.length(line) - SHINGLE) + 1, F.lit(1)), F.lit(4))
+    runs = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE)))))
     return F.array_distinct(F.get(runs, F.lit(0)))
 
 
@@ -123,15 +123,13 @@ def candidates(shared: DataFrame) -> DataFrame:
 
 def alike(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Those pairs whose shingle sets are similar enough. texts: id and line of every id in a pair."""
-    # texts travel and not sets, which are ten times as large; the outer array makes both sets once, also where a filter is pushed down
+    # texts travel and not sets, which are ten times as large
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "_b"}), "b")
-
-    def near(s: Column) -> Column:
-        common = F.size(F.array_intersect(s["a"], s["b"]))
-        return common >= similar * (F.size(s["a"]) + F.size(s["b"]) - common)
-
-    sets = F.array(F.struct(shingles(F.col("_a")).alias("a"), shingles(F.col("_b")).alias("b")))
-    return both.where(F.get(F.transform(sets, near), F.lit(0))).select("a", "b")
+    sets = both.select("a", "b", shingles(F.col("_a")).alias("_a"), shingles(F.col("_b")).alias("_b"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    # written before it is filtered: a filter would be pushed down to the texts and make each set several times
+    judged = cut(sets.select("a", "b", (common >= similar * (F.size("_a") + F.size("_b") - common)).alias("near")))
+    return judged.where("near").select("a", "b")
 
 
 def unsettled(shared: DataFrame, edges: DataFrame) -> DataFrame:
@@ -195,7 +193,7 @@ def links(known: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     wanted = cut(wanted)
     sent = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
     texts = cut(lines.drop("id").join(sent, ["doc", "at"]).select("id", "line"))
-    edges = cut(alike(pairs, texts, similar))
+    edges = alike(pairs, texts, similar)
     if shared.where(F.col("members") > BUCKET).isEmpty() or (open_rows := unsettled(shared, edges)).isEmpty():
         return edges
     again = texts.join(open_rows.select("id").distinct(), "id").withColumn("set", shingles(F.col("line")))
