@@ -53,3 +53,26 @@ def top_k(xs: Column, k: int) -> Column:
     """Places of the k greatest, ties by place."""
     order = F.array_sort(F.transform(xs, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
     return F.transform(F.slice(order, 1, k), lambda s: s["i"])
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: the errors of the product and of the sum (Dekker, Knuth) are added last."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)  # 2^27 + 1
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    product = a * b
+    lost = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    total_ = product + c
+    rest = total_ - product
+    return F.when(F.abs(total_) < 1e290, total_ + ((product - (total_ - rest)) + (c - rest) + lost)).otherwise(total_)
+
+
+def quantile(xs: Column, q: float) -> Column:
+    """The interpolated quantile of the numbers, null of none; low * (1 - d) + high * d with one rounding in the first product and the sum, as quantile_cont."""
+    order, at = F.sort_array(xs), (F.size(xs) - 1) * F.lit(float(q))
+    low, high = F.get(order, F.floor(at).cast("int")), F.get(order, F.ceil(at).cast("int"))
+    d = at - F.floor(at)
+    return F.when(d == 0, low).otherwise(fused(1 - d, low, high * d))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from accrete.functions.arrays import quantile
+
 
 def amount_trigger(stream: DataFrame, n: int) -> DataFrame:
     """stream (with idx) with trigger_id; the last incomplete window hasn't fired and has null."""
@@ -42,9 +44,9 @@ def chunks(stream: DataFrame, k: int) -> DataFrame:
 def dynamic_quantile(scores: DataFrame, k: int, q: float, higher: bool = True) -> DataFrame:
     """scores (chunk, score) with fired: beyond the interpolated quantile of the k scores before; the first one fires."""
     past = Window.partitionBy(F.lit(0)).orderBy("chunk").rowsBetween(-k, -1)  # one row a chunk
-    line = F.percentile("score", F.lit(q if higher else 1 - q)).over(past)
-    beyond = F.col("score") > line if higher else F.col("score") < line
-    return scores.withColumn("fired", F.when(F.count("score").over(past) == 0, True).otherwise(beyond))
+    seen = scores.withColumn("_past", F.collect_list("score").over(past)).withColumn("_line", quantile(F.col("_past"), q if higher else 1 - q))
+    beyond = F.col("score") > F.col("_line") if higher else F.col("score") < F.col("_line")
+    return seen.withColumn("fired", F.when(F.size("_past") == 0, True).otherwise(beyond)).drop("_past", "_line")
 
 
 def rolling_average(scores: DataFrame, k: int, deviation: float, absolute: bool = False, higher: bool = True) -> DataFrame:

@@ -16,6 +16,36 @@ def test_quantile_first_fires(spark):
     assert got == [True, True, True, False, True]
 
 
+def test_quantile_at_the_line(spark):
+    """Decisions on scores that lie on the line are those of quantile_cont; the numbers are of a table where they weren't."""
+    import math
+    import random
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from accrete.functions.arrays import fused
+
+    r = random.Random(0)
+    past = [1.6] * 3 + [1.6, 1.6, 1.6, 2.4, 2.4, 1.8, 2.18, 2.18, 2.18, 2.18, 2.18, 2.18, 2.2, 2.2, 2.185]
+    values = past + [r.randrange(0, 12) / 5 for _ in range(3000)] + [round(r.uniform(1.9, 2.1), 3) for _ in range(1000)]
+    con = duckdb.connect()
+    con.execute("create table s as select unnest(range(len($1))) as chunk, unnest($1::double[]) as score", [values]).fetchall()
+    sql = "select score > quantile_cont(score, {q}) over (order by chunk rows between {k} preceding and 1 preceding) from s order by chunk"
+    for k, q in ((8, 0.75), (2, 0.75), (5, 0.3)):
+        expected = [f for (f,) in con.sql(sql.format(k=k, q=q)).fetchall()]
+        assert fired(triggers.dynamic_quantile(series(spark, values), k, q)) == [True, *expected[1:]]
+    numbers = [(r.uniform(-3, 3), r.random(), r.uniform(-3, 3)) for _ in range(2000)] + [(math.inf, 0.5, 1.0)]
+    got = spark.createDataFrame(numbers, "a double, b double, c double").select("a", "b", "c", fused(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()
+    assert all(row["x"] == float(math.inf if math.isinf(row["a"]) else _exactly(row["a"], row["b"], row["c"])) for row in got)
+
+
+def _exactly(a, b, c):
+    from fractions import Fraction
+
+    return Fraction(a) * Fraction(b) + Fraction(c)
+
+
 def test_rolling_average(spark):
     got = fired(triggers.rolling_average(series(spark, [10, 10, 13, 10]), 2, 0.2))
     assert got == [True, False, True, False]
