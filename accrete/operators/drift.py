@@ -6,7 +6,9 @@ at is a filter and an aggregation over the stream by Spark, and only its distanc
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +84,10 @@ def performance_trigger(accuracies: Iterable[tuple[int, float]], criteria: Itera
     for chunk, accuracy in accuracies:
         fired = any(c(accuracy, since) for c in criteria)
         out.append((chunk, fired))
-        since = [] if fired else [*since, accuracy]
+        if fired:
+            since = []
+        else:
+            since.append(accuracy)
     return out
 
 
@@ -91,8 +96,11 @@ def below(threshold: float) -> Callable[[float, list[float]], bool]:
 
 
 def drop_from_mean(k: int, deviation: float) -> Callable[[float, list[float]], bool]:
-    """At least `deviation` below the mean of the last k values since the last firing."""
-    return lambda value, seen: bool(seen) and sum(seen[-k:]) / len(seen[-k:]) - value >= deviation
+    """At least `deviation` below the mean of the last k values since the last firing.
+
+    They are added one by one, as a running total in SQL is: sum() carries the rounding errors along from Python 3.12 on.
+    """
+    return lambda value, seen: bool(seen) and reduce(operator.add, seen[-k:]) / len(seen[-k:]) - value >= deviation
 
 
 def warmup_policy(warmup: int, during: Callable[[int], bool], after: Callable[[int], bool]) -> Callable[[int], bool]:

@@ -42,3 +42,20 @@ def test_performance_trigger():
     assert [fired for _, fired in got] == [False, False, True, False, True]
     decide = drift.quantile_decision(3, 0.5)
     assert [decide(v, s) for v, s in ((1, []), (2, [1]), (2, [1, 2, 3]))] == [True, True, False]
+
+
+def test_drop_from_mean_at_the_border():
+    """Decisions 0.02 below the mean are those of a running total, as the query's SQL keeps it."""
+    import random
+
+    import duckdb
+
+    r = random.Random(3)
+    accuracies = [0.16, 0.22, 0.23, 0.23, 0.19] + [round(r.gauss(20, 2)) / 100 for _ in range(5000)]
+    con = duckdb.connect()
+    con.execute("create table a as select unnest(range(len($1))) as chunk, unnest($1::double[]) as acc", [accuracies]).fetchall()
+    expected = con.sql("""WITH RECURSIVE f AS (SELECT chunk, false AS fired, acc AS total, 1 AS n FROM a WHERE chunk = 0
+      UNION ALL SELECT chunk, low, CASE WHEN low THEN 0 ELSE total + acc END, CASE WHEN low THEN 0 ELSE n + 1 END
+      FROM (SELECT a.chunk, acc, total, n, n > 0 AND total / greatest(n, 1) - acc >= 0.02::DOUBLE AS low FROM f JOIN a ON a.chunk = f.chunk + 1))
+    SELECT chunk, fired FROM f ORDER BY chunk""").fetchall()
+    assert drift.performance_trigger(enumerate(accuracies), [drift.drop_from_mean(1 << 30, 0.02)]) == expected
