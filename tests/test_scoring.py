@@ -46,3 +46,33 @@ def test_rounded_distances_are_those_of_added_squares():
     added = np.sqrt(sum((x[:, None, i] - y[None, :, i]) ** 2 for i in range(64)))
     assert (scoring.rounded_distances(x, y, 5) == scoring.rounded(added, 5)).all()
     assert scoring.rounded(np.array([0.000005, 1.0, 0.49999999999999994]), 0).tolist() == [0, 1, 0]
+
+
+def plain_kernels(x, n):
+    """The kernels written with whole matrices."""
+    sq = (x * x).sum(1)
+    d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0))
+    norms = np.linalg.norm(x, axis=1)
+    cosine = 0.5 + 0.5 * (x @ x.T) / (norms[:, None] * norms[None, :])
+    gains = {
+        "craig": lambda c, s=d.max() - d: np.maximum(s - s[:, c].max(axis=1, initial=0)[:, None], 0).sum(0),
+        "facility_location": lambda c: np.maximum(cosine - cosine[:, c].max(axis=1, initial=0)[:, None], 0).sum(0),
+        "graph_cut": lambda c: cosine.sum(0) - 2 * cosine[:, c].sum(1) - np.diag(cosine),
+        "log_determinant": lambda c, m=cosine + 1e-3 * np.eye(len(x)): np.diag(m) - ((m[c] * np.linalg.solve(m[np.ix_(c, c)], m[c])).sum(0) if c else 0),
+    }
+    return {name: scoring.greedy(gain, n, len(x)) for name, gain in gains.items()}
+
+
+def test_kernels_hold_one_matrix():
+    """Beside the matrix of similarities only strips of it are held, and the rows chosen are those of whole matrices."""
+    import tracemalloc
+
+    x = np.random.default_rng(2).normal(0, 1, (1001, 16))
+    expected = plain_kernels(x, 20)
+    for name, chosen in expected.items():
+        tracemalloc.start()
+        got, _ = scoring.KERNELS[name](x, 20)
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert got.tolist() == chosen
+        assert peak < 1.6 * len(x) ** 2 * 8, (name, peak)
