@@ -2,7 +2,8 @@
 
 A text is cut into units that no piece of the vocabulary crosses (a unit is a run of spaces and what follows up to the
 next space; the vocabulary is searched once for pieces that would break this). Per unit an agenda of adjacent symbol
-pairs, ordered by score and then from the left, is merged until no pair is a piece; characters that are no piece fall
+pairs, ordered by score and then from the left, is merged until no pair is a piece; it is a list for units of up to SHORT
+characters, where looking for the best pair costs less than a heap, and a heap for others. Characters that are no piece fall
 back to their bytes. Units repeat, so each worker keeps the ids of those it has met, up to a bound after which it starts
 anew; this changes time, never results. Work is done per Arrow batch, and each batch is held against the sentencepiece
 library: units that are new to the worker are encoded by it too, as is every WHOLE-th text as a whole, and all ids are
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ KEPT_BYTES, OVERHEAD = 130_000_000, 200
 #: The library encodes every so many-th text of a batch as a whole.
 WHOLE = 8
 PLACES = (1 << 40) - 1
+#: Characters of a unit up to which its agenda is a list, and what stands there for a pair that is no piece.
+SHORT, NO_PIECE = 48, 1 << 80
 #: Texts of a batch whose units are looked up together.
 TOGETHER = 100
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -94,6 +98,28 @@ class Pieces:
 
     def merge(self, unit: str) -> list[int]:
         """The ids of one unit by the agenda."""
+        symbols = self.by_list(unit) if len(unit) <= SHORT else self.by_heap(unit)
+        ids = list(map(self.id_of.get, symbols))
+        if None in ids:
+            return [j for s, i in zip(symbols, ids, strict=True) for j in ((i,) if i is not None else [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")])]
+        return ids
+
+    def by_list(self, unit: str) -> list[str]:
+        """The symbols of a short unit."""
+        symbols, rank = list(unit), self.rank.get
+        agenda = [rank(unit[i : i + 2], NO_PIECE) for i in range(len(unit) - 1)]
+        while agenda and (best := min(agenda)) != NO_PIECE:
+            i = agenda.index(best)
+            pair = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(pair + symbols[i + 1], NO_PIECE)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + pair, NO_PIECE)
+        return symbols
+
+    def by_heap(self, unit: str) -> list[str]:
+        """The symbols of any unit."""
         symbols: list[str | None] = list(unit)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -114,12 +140,7 @@ class Pieces:
                     push(agenda, r + i)
             if (h := before[i]) >= 0 and (r := rank(symbols[h] + pair)) is not None:
                 push(agenda, r + h)
-        ids: list[int] = []
-        for s in symbols:
-            if s is not None:
-                i = self.id_of.get(s)
-                ids.extend((i,) if i is not None else [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")])
-        return ids
+        return [s for s in symbols if s is not None]
 
     def cut(self, text: str) -> list[str]:
         return re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)) if text else []
@@ -133,7 +154,7 @@ class Pieces:
                 if ids != theirs and u != SPACE:
                     raise ValueError(f"the agenda and the library differ on {u!r}: {ids} and {theirs}")
         for u, ids in zip(new, got, strict=True):
-            self.keep(u, np.asarray(ids, "<u4").tobytes())
+            self.keep(u, struct.pack(f"<{len(ids)}I", *ids))
 
     def keep(self, unit: str, ids: bytes) -> None:
         self.units[unit] = ids
@@ -159,10 +180,11 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """What the library's decode(ids) returns."""
-        parts = [self.shown[i] for i in ids.tolist()]
+        whole = ids.tolist()
+        parts = [self.shown[i] for i in whole]
         if None in parts:
             joined, run = [], bytearray()
-            for i, part in zip(ids.tolist(), parts, strict=True):
+            for i, part in zip(whole, parts, strict=True):
                 if part is None:
                     run.append(self.byte_of[i])
                     continue
@@ -173,7 +195,7 @@ class Pieces:
             joined.append(_from_bytes(bytes(run)))
             parts = joined
         text = "".join(parts)
-        first = next((i for i in ids.tolist() if self.shown[i] != ""), None)
+        first = next((i for i in whole if self.shown[i] != ""), None)
         return text[1:] if first not in (None, self.unknown) and (self.shown[first] or "").startswith(" ") else text
 
 

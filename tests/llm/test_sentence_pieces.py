@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +48,25 @@ def test_a_full_store_changes_nothing():
     assert small.encode_batch(texts) == PIECES.encode_batch(texts)
 
 
+def test_short_units_need_no_heap(monkeypatch):
+    """Their agenda is a list, of the same order as the heap of long units."""
+    r = random.Random(3)
+    units = ["▁" + "".join(r.choice("abcdeinrstéß漢🙂") for _ in range(n)) for n in range(sentence_pieces.SHORT) for _ in range(20)]
+    by_heap = [PIECES.by_heap(u) for u in units]
+
+    def refuse(*_):
+        raise AssertionError("a heap")
+
+    monkeypatch.setattr(sentence_pieces.heapq, "heapify", refuse)
+    monkeypatch.setattr(sentence_pieces.heapq, "heappop", refuse)
+    assert [PIECES.by_list(u) for u in units] == by_heap
+    for u in units:
+        if u != "▁":
+            assert PIECES.merge(u) == LIBRARY.encode(u[1:])
+    with pytest.raises(AssertionError, match="a heap"):
+        PIECES.merge("▁" + "a" * sentence_pieces.SHORT)
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "same text", None), (4, "same text", "z"), (None, "a " * 9000, "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
