@@ -65,6 +65,13 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.get(runs, F.lit(0)))
 
 
+def places(hashes: Column, points: list[int]) -> Column:
+    """How many of the sorted hashes are below each of the ascending points."""
+    among = F.sort_array(F.concat(hashes, F.array(*[F.lit(x).cast("long") for x in points])))
+    # a point's place among hashes and points, less the points before it; the outer array sorts once for all points
+    return F.array(*[(F.array_position(among, F.lit(x).cast("long")) - 1 - k).cast("int") for k, x in enumerate(points)])
+
+
 def with_keys(lines: DataFrame, name: str, bands: int, rows: int) -> DataFrame:
     """lines (with set: hashes) with the column `name`: the distinct keys of its bands; null if set is."""
     starts = [-(1 << 63) + k * ((1 << 64) // bands) for k in range(bands)]
@@ -139,10 +146,17 @@ def unsettled(shared: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(large.join(far.select("key").distinct(), "key", "left_semi"))
 
 
-def bitmap(hashes: Column) -> list[Column]:
-    """Longs whose bits are the parities of how many hashes fall on each."""
+def with_bitmap(lines: DataFrame) -> DataFrame:
+    """lines (with set: hashes) with n, the set's size, and bits: longs whose bits are the parities of how many hashes fall on each."""
+    points = [F.lit(-(1 << 63) + k * ((1 << 64) // LONGS)).cast("long") for k in range(LONGS)]
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    return [F.aggregate(F.filter(hashes, lambda h: h.bitwiseAND(64 * (LONGS - 1)) == 64 * k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))) for k in range(LONGS)]
+    # a long takes the hashes from one point to the next, which lie together in the sorted set, so that each hash is met once
+    lines = lines.withColumn("set", F.sort_array("set")).withColumn("n", F.size("set"))
+    lines = lines.withColumn("_among", F.sort_array(F.concat("set", F.array(*points))))
+    lines = lines.withColumn("_at", F.array(*[(F.array_position("_among", x) - 1 - k).cast("int") for k, x in enumerate(points)], "n"))
+    part = lambda k: F.slice("set", F.get("_at", F.lit(k)) + 1, F.get("_at", F.lit(k + 1)) - F.get("_at", F.lit(k)))
+    bits = F.array(*[F.aggregate(part(k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))) for k in range(LONGS)])
+    return lines.withColumn("bits", bits).drop("_among", "_at")
 
 
 def may(x: Column, y: Column, similar: float) -> Column:
@@ -197,8 +211,7 @@ def links(known: DataFrame, lines: DataFrame, similar: float) -> DataFrame:
     if shared.where(F.col("members") > BUCKET).isEmpty() or (open_rows := unsettled(shared, edges)).isEmpty():
         return edges
     again = texts.join(open_rows.select("id").distinct(), "id").withColumn("set", shingles(F.col("line")))
-    drawn = again.withColumn("n", F.size("set")).withColumn("bits", F.array(*bitmap(F.col("set"))))
-    drawn = cut(with_keys(drawn, "keys", FINE_BANDS, FINE_ROWS).drop("line"))
+    drawn = cut(with_keys(with_bitmap(again), "keys", FINE_BANDS, FINE_ROWS).drop("line"))
     fine = buckets(drawn.select("id", "keys"))
     apart = cut(candidates(fine).join(pairs, ["a", "b"], "left_anti"))
     drawn = drawn.select("id", "n", "bits")

@@ -289,6 +289,22 @@ def test_blocks_of_small_size(spark, monkeypatch):
     assert got == expected
 
 
+def test_bitmaps(spark):
+    """Each long holds the parities of the hashes between two points; sets that differ in few hashes differ in no more bits."""
+    r, width = random.Random(13), (1 << 64) // line_dedup.LONGS
+    sets = [[r.randrange(-(1 << 63), 1 << 63) for _ in range(n)] for n in (1, 2, 15, 300, 2000)]
+    sets += [[-(1 << 63), 0, (1 << 63) - 1, -1], [-(1 << 63) + k * width for k in range(line_dedup.LONGS)], [64 * k for k in range(8)], sets[3][7:] + [5, 6]]
+    got = {x["id"]: x for x in line_dedup.with_bitmap(spark.createDataFrame(list(enumerate(sets)), "id long, set array<long>")).collect()}
+    for i, s in enumerate(sets):
+        bits = [0] * line_dedup.LONGS
+        for h in s:
+            bits[(h + (1 << 63)) // width] ^= 1 << (h & 63)
+        assert got[i]["n"] == len(s)
+        assert [x % (1 << 64) for x in got[i]["bits"]] == bits
+    apart = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(got[3]["bits"], got[8]["bits"], strict=True))
+    assert 0 < apart <= len(set(sets[3]) ^ set(sets[8]))
+
+
 def test_line_recall(spark):
     """Lines of 4 to 90 words with edits spread out, about 0.8 to 0.95 alike: nearly all are found, and no others."""
     r, lines = random.Random(11), []
