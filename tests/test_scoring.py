@@ -111,3 +111,81 @@ def test_grad_match_takes_few_seconds():
     chosen, weight = scoring.grad_match(x, 120)
     assert time.process_time() - start < 3 * len(set(chosen.tolist())) / 120
     assert np.allclose(weight, swept(x[chosen].T, x.sum(0), 1.0), rtol=0, atol=1e-9)
+
+
+def whole_graph_cut(rows, ratio):
+    """Graph cut with the matrix of each whole class, rows in order of keys."""
+    got = []
+    for label in {r[1] for r in rows if r[1] is not None}:
+        part = sorted(r for r in rows if r[1] == label)
+        x = np.array([r[2] for r in part])
+        got += [(part[i][0], label, 1.0) for i in plain_kernels(x, scoring.target(len(part), ratio))["graph_cut"]]
+    return sorted(got)
+
+
+def test_graph_cut_sees_whole_classes(spark, monkeypatch):
+    """Classes above MOST aren't cut, whether one task holds them (label 2) or all do, with pull (0) or nearly without (1)."""
+    monkeypatch.setattr(scoring, "MOST", 20)
+    monkeypatch.setattr(scoring, "OFFERS", 12, raising=False)
+    r = np.random.default_rng(5)
+    rows = [(i, 0, r.normal(0.7, 1, 6).round(2).tolist()) for i in range(200)]
+    rows += [(1000 - i, 1, r.normal(0, 1, 6).round(2).tolist()) for i in range(90)]
+    rows += [(2000 + i, 2, r.normal(0, 1, 6).round(2).tolist()) for i in range(60)] + [(3000, None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "key long, label long, v array<double>").repartition(3)
+    got = scoring.coreset(df, "graph_cut", 10, "key", "label", "v")
+    assert sorted(tuple(row) for row in got.collect()) == whole_graph_cut(rows, 10)
+
+
+def test_graph_cut_takes_the_first_of_equal_rows(spark, monkeypatch):
+    """Also where equal vectors lie in several tasks, and where vectors without length compete."""
+    far = [(100 - i, 0, [1.0, 2.0, 0.5]) for i in range(30)] + [(200 + i, 0, [-1.0, 0.5, 3.0]) for i in range(12)]
+    rows = far + [(300 + i, 0, [0.0, 0.0, 0.0]) for i in range(8)]
+    x = np.array([r[2] for r in sorted(rows)])
+    gain, left, pull = scoring.unit_rows(x), list(range(50)), 0.5 * scoring.unit_rows(x).sum(0)
+    expected = []
+    for _ in range(10):
+        first = max(left, key=lambda i: (round(gain[i] @ pull - 0.5 * gain[i].any(), 9), -i))
+        left.remove(first)
+        pull, expected = pull - gain[first], [*expected, sorted(rows)[first][0]]
+    df = spark.createDataFrame(rows, "key long, label long, v array<float>").repartition(5)
+    for most in (4096, 4):
+        monkeypatch.setattr(scoring, "MOST", most)
+        got = scoring.coreset(df, "graph_cut", 20, "key", "label", "v").collect()
+        assert sorted(row.key for row in got) == sorted(expected), most
+
+
+def test_most_gain_bounds_rows_that_were_not_offered():
+    r = np.random.default_rng(6)
+    for i in range(300):
+        d = int(r.integers(1, 8))
+        units = scoring.unit_rows(np.concatenate([r.normal(r.choice([0, 1]), 1, (60, d)), np.zeros((2, d))]))
+        cut, old = scoring.GraphCut(units), r.normal(0, r.choice([0.01, 1, 50]), d) * (i % 10 > 0)
+        new, gains = old - units[r.integers(0, 62, r.integers(1, 9))].sum(0), units @ old - cut.own
+        for rest in np.sort(gains)[[0, 20, 61]]:
+            unsent = gains <= rest
+            assert (units @ new - cut.own)[unsent].max() <= scoring.most_gain(rest, old, new, 1.0) + scoring.rounding(new, 1.0)
+
+
+def test_vectors_without_a_cosine_are_named():
+    import pytest
+
+    for odd in (np.nan, np.inf, 1e200):
+        with pytest.raises(ValueError, match="not finite"):
+            scoring.unit_rows(np.array([[1.0, 2.0], [odd, 0.0]]))
+
+
+def test_vectors_come_in_order_from_batches_of_any_size():
+    import pyarrow as pa
+    import pytest
+
+    r = np.random.default_rng(7)
+    keys, x = r.permutation(500), r.normal(0, 1, (500, 3)).astype("float32")
+    sizes = np.split(np.arange(500), [0, 100, 100, 137, 400])
+    batches = [pa.RecordBatch.from_pydict({"key": pa.array(keys[at]), "vector": pa.array(x[at].tolist(), pa.list_(pa.float32()))}) for at in sizes]
+    got, units = scoring._ordered(pa.Table.from_batches(batches))
+    assert got.to_pylist() == list(range(500))
+    assert (units == scoring.unit_rows(x[np.argsort(keys)])).all()
+    for odd in ([None], [[1.0]], [[1.0, None, 2.0]]):
+        more = pa.RecordBatch.from_pydict({"key": pa.array([500]), "vector": pa.array(odd, pa.list_(pa.float32()))})
+        with pytest.raises(ValueError, match="one length"):
+            scoring._ordered(pa.Table.from_batches([*batches, more]))
